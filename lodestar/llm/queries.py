@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op4_fertility import op4_token_fertility
+from .op7_decontamination import ORACLE as _OP7
+from .op7_decontamination import op7_decontamination
 from .op9_packing import op9_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_token_fertility,
+        op7_decontamination,
         op9_packing,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontamination": _OP7}

@@ -1,7 +1,8 @@
 """Vectorised word hashing: a batch of texts becomes flat numpy arrays.
 
 A word is a maximal run of bytes above 0x20 of the lower-cased UTF-8 text, so
-that every kind of ASCII white space separates.  Work is done over slices of
+that every kind of ASCII white space separates; with plain, ASCII punctuation
+separates as well.  Work is done over slices of
 whole texts of about SLICE bytes; a longer text makes a slice of its own.
 """
 
@@ -82,13 +83,18 @@ class Words:
         return b" ".join(self.data[self.start[i] : self.end[i]] for i in range(a, b))
 
 
-def words(texts: list[str | None]) -> Iterator[Words]:
+_PLAIN = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
+
+
+def words(texts: list[str | None], plain: bool = False) -> Iterator[Words]:
     """Slices of the texts, in order; null counts as empty."""
     at, n = 0, len(texts)
     while at < n:
         part, size, first = [], 0, at
         while at < n and (not part or size < SLICE):
             t = (texts[at] or "").lower().encode("utf-8", "replace")
+            if plain:
+                t = t.translate(_PLAIN)
             part.append(t)
             size += len(t) + 1
             at += 1
