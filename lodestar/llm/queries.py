@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op4_fertility import op4_token_fertility
 from .op7_decontamination import ORACLE as _OP7
 from .op7_decontamination import op7_decontamination
+from .op8_simhash import op8_simhash
 from .op9_packing import op9_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op4_token_fertility,
         op7_decontamination,
+        op8_simhash,
         op9_packing,
     )
 }
