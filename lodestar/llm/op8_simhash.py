@@ -1,10 +1,10 @@
 """Operator 8, SimHash near-duplicates by covering locality-sensitive hashing.
 
-A document's fingerprint is four SimHash blocks of 64 bits over its words (lower
+A document's fingerprint is BLOCKS SimHash blocks of BITS bits over its words (lower
 case, ASCII punctuation as blanks), each word weighted by count ** POWER, and a
 check block over its shingles of SHINGLE words.  Two documents are near
-duplicates if some of the four blocks differ in at most RADIUS bits, all four
-in at most WHOLE = 4 * (RADIUS + 1) - 1 and the check blocks in at most CHECK.
+duplicates if some of the blocks differ in at most RADIUS bits, all of them in
+at most WHOLE = BLOCKS * (RADIUS + 1) - 1 and the check blocks in at most CHECK.
 By the pigeonhole principle some block of any pair within WHOLE is within
 RADIUS, so the first condition loses nothing.
 
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common, runs, wordgrid
 
-BLOCKS = 4
+BLOCKS = 5
+BITS = 51
 RADIUS = 4
 WHOLE = BLOCKS * (RADIUS + 1) - 1
 CHECK = 22
@@ -49,40 +50,58 @@ _PRINTS = "doc_id long, row_key long, node long, " + ", ".join(f"{c} long" for c
 
 
 def masks(radius: int = RADIUS) -> np.ndarray:
-    """2 ** (radius + 1) - 1 masks of 64 bits that cover every choice of radius positions."""
+    """2 ** (radius + 1) - 1 masks of BITS bits that cover every choice of radius positions."""
     top = 1 << (radius + 1)
-    m = np.random.default_rng(88).permutation(np.resize(np.arange(1, top), 64))
+    m = np.random.default_rng(88).permutation(np.resize(np.arange(1, top), BITS))
     even = np.array([[bin(int(x) & v).count("1") % 2 == 0 for x in m] for v in range(1, top)])
-    return np.packbits(even, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    full = np.zeros((top - 1, 64), bool)
+    full[:, :BITS] = even
+    return np.packbits(full, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _bits(h: np.ndarray, count: int) -> np.ndarray:
-    x = np.stack([wordgrid.mix(h ^ s) for s in _SEEDS[:count]], 1)
-    return np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+def _hashes(h: np.ndarray, count: int) -> np.ndarray:
+    return np.stack([wordgrid.mix(h ^ s) for s in _SEEDS[:count]], 1)
 
 
-def _sign(h: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
-    total = np.zeros(64 * count, np.float64)
-    for a in range(0, len(h), 4096):
-        total += weight[a : a + 4096].astype(np.float32) @ _bits(h[a : a + 4096], count).astype(np.float32)
-    return np.packbits(2 * total > weight.sum(), bitorder="little").view(np.uint64)
+def _sums(rows: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each bit, its weight over the rows; a slice of rows at a time."""
+    total = np.zeros(64 * rows.shape[1], np.float64)
+    for a in range(0, len(rows), 2048):
+        total += weight[a : a + 2048] @ np.unpackbits(rows[a : a + 2048].view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    return total
 
 
-def fingerprint(words: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    u, n = np.unique(words, return_counts=True)
-    s = np.unique(shingles) if len(shingles) else wordgrid.mix(words[:1] if len(words) == 1 else words.sum(keepdims=True, dtype=np.uint64))
-    return np.concatenate([_sign(u, n.astype(np.float64) ** POWER, BLOCKS), _sign(s, np.ones(len(s)), 1)])
+def _blocks(sums: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Signs as BLOCKS words of BITS bits."""
+    sign = (2 * sums > whole[:, None])[:, : BLOCKS * BITS].reshape(len(sums), BLOCKS, BITS)
+    full = np.zeros((len(sums), BLOCKS, 64), bool)
+    full[:, :, :BITS] = sign
+    return np.packbits(full, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
 
 
 def fingerprints(texts: list[str | None]) -> np.ndarray:
-    """A row of BLOCKS + 1 words of 64 bits for each text; all 0 for a text without words."""
+    """A row of BLOCKS + 1 words for each text; all 0 for a text without words."""
     out = np.zeros((len(texts), BLOCKS + 1), np.uint64)
     for w in wordgrid.words(texts, plain=True):
+        some = np.flatnonzero(w.count)
+        if not len(some):
+            continue
+        kinds, kind = np.unique(w.hash, return_inverse=True)
+        table = _hashes(kinds, -(-BLOCKS * BITS // 64))
+        key, n = np.unique(w.doc * len(kinds) + kind, return_counts=True)
+        weight = (n**POWER).astype(np.float32)
+        edge = np.searchsorted(key, np.append(some, some[-1] + 1) * len(kinds))
+        rows = table[key % len(kinds)]
+        sums = np.stack([_sums(rows[a:b], weight[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+        out[w.first + some, :BLOCKS] = _blocks(sums, np.add.reduceat(weight, edge[:-1]))
         g, at = w.grams(SHINGLE)
-        edge = np.searchsorted(w.doc[at], np.arange(len(w.count) + 1))
-        for d in np.flatnonzero(w.count):
-            a = w.begin[d]
-            out[w.first + d] = fingerprint(w.hash[a : a + w.count[d]], g[edge[d] : edge[d + 1]])
+        edge = np.searchsorted(w.doc[at], np.append(some, some[-1] + 1))
+        g = g[:, None].copy()
+        one = np.ones(2048, np.float32)
+        for d, a, b in zip(some, edge[:-1], edge[1:], strict=True):
+            h = g[a:b] if b > a else wordgrid.mix(w.hash[w.begin[d] : w.begin[d] + w.count[d]].sum(keepdims=True, dtype=np.uint64))[:, None]
+            total = sum(one[: min(2048, len(h) - i)] @ np.unpackbits(h[i : i + 2048].view(np.uint8), axis=1, bitorder="little").astype(np.float32) for i in range(0, len(h), 2048))
+            out[w.first + d, BLOCKS] = np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0]
     return out
 
 
