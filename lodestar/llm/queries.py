@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_lines import ORACLE as _OP10
+from .op10_lines import op10_line_dedup
 from .op4_fertility import op4_token_fertility
 from .op7_decontamination import ORACLE as _OP7
 from .op7_decontamination import op7_decontamination
@@ -19,7 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_decontamination,
         op8_simhash,
         op9_packing,
+        op10_line_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {"op7_decontamination": _OP7}
+ORACLES: dict[str, str] = {"op7_decontamination": _OP7, "op10_line_dedup": _OP10}

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def _powers_of(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = 1 << max(10, (n - 1).bit_length())
@@ -45,12 +45,17 @@ def _power(base: int, n: int) -> np.ndarray:
 _INVERSE = {int(_BASE): pow(int(_BASE), -1, 2**64)}
 
 
-def _segments(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def segments(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[start:end], independent of the place."""
     n = len(values)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _power(int(_BASE), n), out=sums[1:])
-    return (sums[end] - sums[start]) * _power(_INVERSE[int(_BASE)], n + 1)[start]
+    np.cumsum(values * _powers_of(int(_BASE), n), out=sums[1:])
+    return (sums[end] - sums[start]) * _powers_of(_INVERSE[int(_BASE)], n + 1)[start]
+
+
+def power(n: np.ndarray) -> np.ndarray:
+    """The factor by which a polynomial hash is moved n values on."""
+    return _powers_of(int(_BASE), int(n.max(initial=0)) + 1)[n]
 
 
 @dataclass
@@ -76,7 +81,7 @@ class Words:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         left = np.repeat(self.begin + self.count, self.count)
         at = np.flatnonzero(np.arange(n) + k <= left)
-        return mix(_segments(self.hash, at, at + k)), at
+        return mix(segments(self.hash, at, at + k)), at
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, joined by one blank."""
@@ -112,5 +117,5 @@ def _slice(first: int, part: list[bytes]) -> Words:
     ends = np.cumsum([len(t) + 1 for t in part])
     upto = np.searchsorted(start, ends, side="left")
     count = np.diff(np.concatenate(([0], upto)))
-    hashes = mix(_segments(_BYTE[raw], start, end)) if len(start) else np.empty(0, np.uint64)
+    hashes = mix(segments(_BYTE[raw], start, end)) if len(start) else np.empty(0, np.uint64)
     return Words(first, count, upto - count, hashes, start, end, data)
