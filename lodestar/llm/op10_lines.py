@@ -108,11 +108,16 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(line[(low < high)[run]]))], names=["line"])
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The words of the lines; wanted: only of those with these hashes, sorted."""
     for b in batches:
         text = _lines(b)[2]
         for w in wordgrid.words(text):
             some = np.flatnonzero(w.count >= NEAR_WORDS - 1)
+            if wanted is not None:
+                h = _hash(w)[some].view(np.int64)
+                at = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
+                some = some[wanted[at] == h] if len(wanted) else some[:0]
             yield pa.RecordBatch.from_arrays([_as_long(_hash(w)[some]), pa.array([w.text(w.begin[i], w.begin[i] + w.count[i]).decode("utf-8", "replace") for i in some], pa.string())], names=["line", "words"])
 
 
@@ -177,14 +182,16 @@ def removals(docs: DataFrame) -> DataFrame:
     parts = common.workers(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text"))
     text = base.select("text")
-    occurrences = base.mapInArrow(_occurrence_batches, "line long, doc_id long, row_key long, line_no int").distinct()
+    occurrences = common.cut(base.mapInArrow(_occurrence_batches, "line long, doc_id long, row_key long, line_no int"))
     shared = text.mapInArrow(_half_batches, "key long, line long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_batches, "line long").distinct()
     shared = common.cut(shared)
-    few = shared.count() <= BROADCAST_ROWS
-    texts = text.mapInArrow(_text_batches, "line long, words string").join(F.broadcast(shared) if few else shared, "line", "left_semi")
+    if shared.count() <= BROADCAST_ROWS:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toPandas()["line"].to_numpy(np.int64)))
+        texts = text.mapInArrow(lambda batches: _text_batches(batches, wanted.value), "line long, words string")
+    else:
+        texts = text.mapInArrow(_text_batches, "line long, words string").join(shared, "line", "left_semi")
     texts = texts.groupBy("line").agg(F.first("words").alias("words"))
     firsts = occurrences.groupBy("line").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("n"))
-    firsts = common.cut(firsts)
     texts = common.cut(texts.join(firsts, "line").select("line", "words", *(F.col(f"first.{c}").alias(c) for c in _ORDER)))
     variants = texts.mapInArrow(_variant_batches, "key long, place int, line long, doc_id long, row_key long, line_no int")
     candidates = variants.repartition(parts, "key").sortWithinPartitions("key", "place", *_ORDER).mapInArrow(_candidate_batches, "line long, earlier long").distinct()
@@ -193,7 +200,7 @@ def removals(docs: DataFrame) -> DataFrame:
     near = pairs.select("line", "words", "earlier_words").mapInArrow(_verified_batches, "line long").distinct().withColumn("near", F.lit(True))
     gone = firsts.join(near, "line", "left").where("n > 1 OR near")
     found = occurrences.join(gone, "line")
-    return found.where(F.col("near") | ~F.struct(*_ORDER).eqNullSafe(F.col("first"))).select(*_ORDER, F.coalesce("near", F.lit(False)).alias("near"))
+    return found.where(F.col("near") | ~F.struct(*_ORDER).eqNullSafe(F.col("first"))).select(*_ORDER, F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 
 def apply(docs: DataFrame) -> DataFrame:
