@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op10_lines import ORACLE as _OP10
 from .op10_lines import op10_line_dedup
+from .op3_suffixes import op3_suffix_dedup
 from .op4_fertility import op4_token_fertility
 from .op7_decontamination import ORACLE as _OP7
 from .op7_decontamination import op7_decontamination
@@ -17,6 +18,7 @@ from .op9_packing import op9_packing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_suffix_dedup,
         op4_token_fertility,
         op7_decontamination,
         op8_simhash,
