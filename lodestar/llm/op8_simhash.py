@@ -13,6 +13,10 @@ m(i) of RADIUS + 1 bits, and mask v keeps the positions whose m(i) has an even
 product with v.  For any RADIUS positions some v other than 0 is orthogonal to
 all of them, so that two blocks within RADIUS agree under that mask with
 certainty.  Each pair is reported only for the first mask in which it collides.
+Pairs that are in one component anyway need no comparison, so a first pass over
+STAR_MASKS masks joins each document with one drawn member of its bucket and
+finds most of a group of thousands in linear time; the second pass, over all
+masks, looks at every pair of different components.
 
 Groups are connected components of the near duplicates; the first of each, by
 (doc_id, row_key) with null ids first, stays.  Equal fingerprints are one node,
@@ -42,6 +46,8 @@ BITS = 51
 RADIUS = 4
 WHOLE = BLOCKS * (RADIUS + 1) - 1
 CHECK = 22
+#: Masks of each block used in the first pass.
+STAR_MASKS = 4
 POWER = 0.8
 SHINGLE = 3
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64)
@@ -114,35 +120,58 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["row_key"], *columns], names=[c.split()[0] for c in _PRINTS.split(", ")])
 
 
-def _table_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    m = masks()
-    for b in batches:
-        node = b["node"].to_numpy()
-        for i in range(BLOCKS):
-            x = b[f"b{i}"].to_numpy().view(np.uint64)
-            key = wordgrid.mix((x[:, None] & m) ^ _SEEDS[i * len(m) % 60 : i * len(m) % 60 + 1] ^ (np.arange(len(m), dtype=np.uint64) + np.uint64(i * 64)) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(x, len(m)).view(np.int64)), pa.array(np.repeat(node, len(m)))], names=["key", "block", "node"])
+def _key(block: np.ndarray, which: int, mask: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return wordgrid.mix((block & mask) ^ wordgrid.mix(np.asarray(number, np.uint64) + np.uint64(which * 4096)))
+
+
+def _table_batches(masks_used: int):
+    """A row (key, block, node, part) for each node, block and mask."""
+    m, number = masks()[:masks_used], np.arange(masks_used)
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, part = b["node"].to_numpy(), b["part"].to_numpy()
+            for i in range(BLOCKS):
+                x = b[f"b{i}"].to_numpy().view(np.uint64)
+                key = _key(x[:, None], i, m, number)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(c, len(m))) for c in (x.view(np.int64), node, part))], names=["key", "block", "node", "part"])
+
+    return tables
+
+
+def _edges(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "z"])
+
+
+def _star_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within each key, pairs with one member drawn by hash; linear in the rows."""
+    for t in runs.whole(batches):
+        key, block, node = (t[c].to_numpy() for c in ("key", "block", "node"))
+        draw = wordgrid.mix(node.view(np.uint64) ^ key.view(np.uint64))
+        order = np.lexsort((draw, key))
+        edge = runs.bounds(key)
+        centre = np.repeat(order[edge[:-1]], np.diff(edge))
+        near = (np.bitwise_count(block.view(np.uint64) ^ block.view(np.uint64)[centre]) <= RADIUS) & (node != node[centre])
+        yield _edges(node, np.flatnonzero(near), centre[near])
 
 
 def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of different parts within a key whose blocks are within RADIUS, for the first mask in which they collide."""
     m = masks()
     for t in runs.whole(batches):
-        key, block, node = (t[c].to_numpy() for c in ("key", "block", "node"))
+        key, block, node, part = (t[c].to_numpy() for c in ("key", "block", "node", "part"))
         x = block.view(np.uint64)
-        for i, j in runs.pairs(key):
+        for i, j in runs.cross(key, part):
             diff = x[i] ^ x[j]
-            near = (np.bitwise_count(diff) <= RADIUS) & (node[i] != node[j])
+            near = np.bitwise_count(diff) <= RADIUS
             i, j, diff = i[near], j[near], diff[near]
             if not len(i):
                 continue
-            # the first mask under which the two agree must be the one of this key
             first = ((diff[:, None] & m) == 0).argmax(axis=1)
             own = np.zeros(len(i), bool)
             for b in range(BLOCKS):
-                k = wordgrid.mix((x[i] & m[first]) ^ _SEEDS[b * len(m) % 60] ^ (first.astype(np.uint64) + np.uint64(b * 64)) * np.uint64(0x9E3779B97F4A7C15))
-                own |= k.view(np.int64) == key[i]
-            a, z = np.minimum(node[i], node[j])[own], np.maximum(node[i], node[j])[own]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(z)], names=["a", "z"])
+                own |= _key(x[i], b, m[first], first).view(np.int64) == key[i]
+            yield _edges(node, i[own], j[own])
 
 
 def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +221,24 @@ def decide(docs: DataFrame) -> DataFrame:
     prints = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text")).mapInArrow(_fingerprint_batches, _PRINTS)
     prints = common.cut(prints.groupBy("doc_id", "row_key", "node", *_BLOCK_COLUMNS).agg(F.count("*").alias("rows")))
     nodes = prints.where("node IS NOT NULL").select("node", *_BLOCK_COLUMNS).distinct()
-    tables = nodes.select("node", *_BLOCK_COLUMNS[:BLOCKS]).mapInArrow(_table_batches, "key long, block long, node long")
     parts = common.workers(docs.sparkSession)
-    found = tables.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pair_batches, "a long, z long").distinct()
-    left, right = (nodes.select(F.col("node").alias(n), F.array(*_BLOCK_COLUMNS).alias(f"{n}_bits")) for n in ("a", "z"))
-    apart = [F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("z_bits")[i])) for i in range(BLOCKS + 1)]
-    edges = found.join(left, "a").join(right, "z").where((sum(apart[1:BLOCKS], apart[0]) <= WHOLE) & (apart[BLOCKS] <= CHECK)).select("a", "z")
-    roots = components(edges)
+
+    def tables(some: DataFrame, masks_used: int, order: list[str]) -> DataFrame:
+        rows = some.select("node", "part", *_BLOCK_COLUMNS[:BLOCKS]).mapInArrow(_table_batches(masks_used), "key long, block long, node long, part long")
+        return rows.repartition(parts, "key").sortWithinPartitions(*order)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = (nodes.select(F.col("node").alias(n), F.array(*_BLOCK_COLUMNS).alias(f"{n}_bits")) for n in ("a", "z"))
+        apart = [F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("z_bits")[i])) for i in range(BLOCKS + 1)]
+        return pairs.distinct().join(left, "a").join(right, "z").where((sum(apart[1:BLOCKS], apart[0]) <= WHOLE) & (apart[BLOCKS] <= CHECK)).select("a", "z")
+
+    # a few masks and pairs with one drawn member of each bucket find most of a large group at a linear cost
+    stars = tables(nodes.withColumn("part", F.lit(0).cast("long")), STAR_MASKS, ["key"]).mapInArrow(_star_batches, "a long, z long")
+    begun = components(verified(stars))
+    # then all masks and all pairs, but for those whose two are in one component already
+    known = nodes.join(begun, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    pairs = tables(known, len(masks()), ["key", "part"]).mapInArrow(_pair_batches, "a long, z long")
+    roots = components(verified(pairs).unionByName(begun.select(F.col("root").alias("a"), F.col("node").alias("z"))))
     grouped = prints.join(roots, "node", "left").withColumn("group", F.when(F.col("node").isNull(), F.struct("doc_id", "row_key", F.lit(None).cast("long").alias("root"))).otherwise(F.struct(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row_key"), F.coalesce("root", "node").alias("root"))))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("group_size"))
     return grouped.join(first, "group").select("doc_id", "row_key", "rows", F.col("first.doc_id").alias("group_id"), "group_size", F.struct("doc_id", "row_key").eqNullSafe(F.col("first")).alias("keep"))
