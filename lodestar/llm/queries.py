@@ -10,6 +10,7 @@ from .op10_lines import ORACLE as _OP10
 from .op10_lines import op10_line_dedup
 from .op3_suffixes import op3_suffix_dedup
 from .op4_fertility import op4_token_fertility
+from .op5_html import op5_html_extraction
 from .op7_decontamination import ORACLE as _OP7
 from .op7_decontamination import op7_decontamination
 from .op8_simhash import op8_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op3_suffix_dedup,
         op4_token_fertility,
+        op5_html_extraction,
         op7_decontamination,
         op8_simhash,
         op9_packing,
