@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op10_lines import ORACLE as _OP10
 from .op10_lines import op10_line_dedup
+from .op1_secrets import op1_secret_scan
 from .op2_quality import op2_quality_rules
 from .op3_suffixes import op3_suffix_dedup
 from .op4_fertility import op4_token_fertility
@@ -20,6 +21,7 @@ from .op9_packing import op9_packing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_quality_rules,
         op3_suffix_dedup,
         op4_token_fertility,
