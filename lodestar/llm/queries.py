@@ -13,6 +13,7 @@ from .op2_quality import op2_quality_rules
 from .op3_suffixes import op3_suffix_dedup
 from .op4_fertility import op4_token_fertility
 from .op5_html import op5_html_extraction
+from .op6_lm import op6_lm_scoring
 from .op7_decontamination import ORACLE as _OP7
 from .op7_decontamination import op7_decontamination
 from .op8_simhash import op8_simhash
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_suffix_dedup,
         op4_token_fertility,
         op5_html_extraction,
+        op6_lm_scoring,
         op7_decontamination,
         op8_simhash,
         op9_packing,
