@@ -1,7 +1,7 @@
 """Operator 8, SimHash near-duplicates by covering locality-sensitive hashing.
 
 A document's fingerprint is BLOCKS SimHash blocks of BITS bits over its words (lower
-case, ASCII punctuation as blanks), each word weighted by count ** POWER, and a
+case, ASCII punctuation as blanks), each word weighted by a power of its count, and a
 check block over its shingles of SHINGLE words.  Two documents are near
 duplicates if some of the blocks differ in at most RADIUS bits, all of them in
 at most WHOLE = BLOCKS * (RADIUS + 1) - 1 and the check blocks in at most CHECK.
@@ -48,7 +48,9 @@ WHOLE = BLOCKS * (RADIUS + 1) - 1
 CHECK = 22
 #: Masks of each block used in the first pass.
 STAR_MASKS = 4
-POWER = 0.8
+#: Exponent in texts of SHORT words and less, and of LONG and more; in between it falls with the
+#: logarithm, as counts of common words make long texts of one language alike.
+POWER, SHORT, LONG = (0.85, 0.45), 200, 2000
 SHINGLE = 3
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64)
 _BLOCK_COLUMNS = [f"b{i}" for i in range(BLOCKS)] + ["check_block"]
@@ -65,6 +67,11 @@ def masks(radius: int = RADIUS) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def power(n: np.ndarray) -> np.ndarray:
+    """Exponent of the counts in a text of n words."""
+    return np.clip(POWER[0] - (POWER[0] - POWER[1]) * np.log(n / SHORT) / np.log(LONG / SHORT), POWER[1], POWER[0])
+
+
 def _hashes(h: np.ndarray, count: int) -> np.ndarray:
     return np.stack([wordgrid.mix(h ^ s) for s in _SEEDS[:count]], 1)
 
@@ -95,8 +102,8 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
         kinds, kind = np.unique(w.hash, return_inverse=True)
         table = _hashes(kinds, -(-BLOCKS * BITS // 64))
         key, n = np.unique(w.doc * len(kinds) + kind, return_counts=True)
-        weight = (n**POWER).astype(np.float32)
         edge = np.searchsorted(key, np.append(some, some[-1] + 1) * len(kinds))
+        weight = (n ** np.repeat(power(w.count[some]), np.diff(edge))).astype(np.float32)
         rows = table[key % len(kinds)]
         sums = np.stack([_sums(rows[a:b], weight[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
         out[w.first + some, :BLOCKS] = _blocks(sums, np.add.reduceat(weight, edge[:-1]))
