@@ -44,5 +44,15 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs["text"]) == gone["__gone_key"]), "left_anti")
 
 
+def first_by_hash(rows: DataFrame, bound: int, *key: str) -> DataFrame:
+    """At most bound rows, the first by hash of key (ties by key).
+
+    Rows whose hash is beyond twice the bound's share are dropped before the sort, so
+    that no task sends more than its part of them to the driver."""
+    found = rows.withColumn("__draw", F.pmod(F.xxhash64(*key), F.lit(1 << 40)))
+    share = min(1.0, 2 * max(bound, 100) / max(1, found.count()))
+    return found.where(F.col("__draw") < int(share * (1 << 40))).orderBy("__draw", *key).limit(bound).drop("__draw")
+
+
 def workers(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -209,7 +209,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(features: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") > 0).cast("double").alias("__quality"))
-    rows = features.dropDuplicates(["doc_id"]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(*FEATURES, "__quality").toPandas().to_numpy(float)
+    rows = common.first_by_hash(features.dropDuplicates(["doc_id"]).join(known, "doc_id"), bound, "doc_id").select(*FEATURES, "__quality").toPandas().to_numpy(float)
     return train(rows[:, :-1], rows[:, -1])
 
 
