@@ -111,8 +111,8 @@ def extract(page: str | None, weights: dict[str, float]) -> tuple:
 
 
 def labelled(pages: DataFrame, bound: int = LABELLED) -> list[str]:
-    some = pages.select("html", F.xxhash64(F.coalesce("url", F.lit("")), "page_id").alias("h")).where(F.col("html").rlike(r"(?i)<(article|main)\b"))
-    return [r["html"] for r in some.orderBy("h", "html").limit(bound).collect()]
+    some = pages.select("html", "url", "page_id").where(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    return [r["html"] for r in common.first_by_hash(some, bound, "url", "page_id", "html").collect()]
 
 
 def content(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
