@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, runs, wordgrid
@@ -44,6 +44,7 @@ from . import common, runs, wordgrid
 BLOCKS = 5
 BITS = 51
 RADIUS = 4
+MASKS = 2 ** (RADIUS + 1) - 1
 WHOLE = BLOCKS * (RADIUS + 1) - 1
 CHECK = 22
 #: Masks of each block used in the first pass.
@@ -127,25 +128,26 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["row_key"], *columns], names=[c.split()[0] for c in _PRINTS.split(", ")])
 
 
-def _key(block: np.ndarray, which: int, mask: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return wordgrid.mix((block & mask) ^ wordgrid.mix(np.asarray(number, np.uint64) + np.uint64(which * 4096)))
-
-
 def _table_batches(masks_used: int):
-    """A row (key, block, node, part) for each node, block and mask."""
-    m, number = masks()[:masks_used], np.arange(masks_used)
+    """A row (table, block, node, part) for each node, block and mask; the key follows from table and block.
+
+    Rows come mask by mask, not node by node."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, part = b["node"].to_numpy(), b["part"].to_numpy()
             for i in range(BLOCKS):
-                x = b[f"b{i}"].to_numpy().view(np.uint64)
-                key = _key(x[:, None], i, m, number)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), *(pa.array(np.repeat(c, len(m))) for c in (x.view(np.int64), node, part))], names=["key", "block", "node", "part"])
+                for t in range(masks_used):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, i * MASKS + t, np.int16)), b[f"b{i}"], b["node"], b["part"]], names=["table", "block", "node", "part"])
 
     return tables
 
 
+def _key() -> Column:
+    """Hash of table and masked block, computed on either side of the exchange rather than carried over it."""
+    mask = F.array(*(F.lit(int(m)) for m in masks().view(np.int64)))
+    return F.xxhash64("table", F.col("block").bitwiseAND(F.element_at(mask, F.pmod("table", F.lit(MASKS)).cast("int") + 1)))
+
+
 def _edges(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "z"])
 
@@ -166,7 +168,7 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """All pairs of different parts within a key whose blocks are within RADIUS, for the first mask in which they collide."""
     m = masks()
     for t in runs.whole(batches):
-        key, block, node, part = (t[c].to_numpy() for c in ("key", "block", "node", "part"))
+        key, table, block, node, part = (t[c].to_numpy() for c in ("key", "table", "block", "node", "part"))
         x = block.view(np.uint64)
         for i, j in runs.cross(key, part):
             diff = x[i] ^ x[j]
@@ -175,9 +177,7 @@ def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not len(i):
                 continue
             first = ((diff[:, None] & m) == 0).argmax(axis=1)
-            own = np.zeros(len(i), bool)
-            for b in range(BLOCKS):
-                own |= _key(x[i], b, m[first], first).view(np.int64) == key[i]
+            own = table[i] % MASKS == first
             yield _edges(node, i[own], j[own])
 
 
@@ -230,9 +230,9 @@ def decide(docs: DataFrame) -> DataFrame:
     nodes = prints.where("node IS NOT NULL").select("node", *_BLOCK_COLUMNS).distinct()
     parts = common.workers(docs.sparkSession)
 
-    def tables(some: DataFrame, masks_used: int, order: list[str]) -> DataFrame:
-        rows = some.select("node", "part", *_BLOCK_COLUMNS[:BLOCKS]).mapInArrow(_table_batches(masks_used), "key long, block long, node long, part long")
-        return rows.repartition(parts, "key").sortWithinPartitions(*order)
+    def tables(some: DataFrame, masks_used: int, *order: str) -> DataFrame:
+        rows = some.select("node", "part", *_BLOCK_COLUMNS[:BLOCKS]).mapInArrow(_table_batches(masks_used), "table short, block long, node long, part long")
+        return rows.repartition(parts, _key()).withColumn("key", _key()).sortWithinPartitions("key", *order)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (nodes.select(F.col("node").alias(n), F.array(*_BLOCK_COLUMNS).alias(f"{n}_bits")) for n in ("a", "z"))
@@ -240,11 +240,11 @@ def decide(docs: DataFrame) -> DataFrame:
         return pairs.distinct().join(left, "a").join(right, "z").where((sum(apart[1:BLOCKS], apart[0]) <= WHOLE) & (apart[BLOCKS] <= CHECK)).select("a", "z")
 
     # a few masks and pairs with one drawn member of each bucket find most of a large group at a linear cost
-    stars = tables(nodes.withColumn("part", F.lit(0).cast("long")), STAR_MASKS, ["key"]).mapInArrow(_star_batches, "a long, z long")
+    stars = tables(nodes.withColumn("part", F.lit(0).cast("long")), STAR_MASKS).mapInArrow(_star_batches, "a long, z long")
     begun = components(verified(stars))
     # then all masks and all pairs, but for those whose two are in one component already
     known = nodes.join(begun, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    pairs = tables(known, len(masks()), ["key", "part"]).mapInArrow(_pair_batches, "a long, z long")
+    pairs = tables(known, MASKS, "part").mapInArrow(_pair_batches, "a long, z long")
     roots = components(verified(pairs).unionByName(begun.select(F.col("root").alias("a"), F.col("node").alias("z"))))
     grouped = prints.join(roots, "node", "left").withColumn("group", F.when(F.col("node").isNull(), F.struct("doc_id", "row_key", F.lit(None).cast("long").alias("root"))).otherwise(F.struct(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row_key"), F.coalesce("root", "node").alias("root"))))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("group_size"))
