@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value computed once: an expression inside a lambda is otherwise evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -61,13 +67,19 @@ def exact_match(prediction: Column | str, gold: Column | str) -> Column:
 
 def _shared(p: Column, g: Column) -> Column:
     """Size of the multiset intersection."""
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(p, lambda x: x == t)), F.size(F.filter(g, lambda x: x == t))))
+    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
+    return F.aggregate(F.array_distinct(p), F.lit(0), lambda n, t: n + F.least(times(p, t), times(g, t)))
 
 
 def token_f1(prediction: Column | str, gold: Column | str) -> Column:
     p, g = (F.filter(F.split(normalize_answer(x), " "), lambda t: t != "") for x in (prediction, gold))
-    n, a, b = _shared(p, g), F.size(p), F.size(g)
-    return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0) | (n == 0), 0.0).otherwise(2.0 * (n / a) * (n / b) / (n / a + n / b))
+
+    def score(s: Column) -> Column:
+        n, a, b = _shared(s["p"], s["g"]), F.size(s["p"]), F.size(s["g"])
+        some = let(n, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * (n / a) * (n / b) / (n / a + n / b)))
+        return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(some)
+
+    return let(F.struct(p.alias("p"), g.alias("g")), score)
 
 
 def _best(score, prediction: Column | str, golds: Column | str) -> Column:
@@ -85,8 +97,7 @@ def best_f1(prediction: Column | str, golds: Column | str) -> Column:
 
 def contains_answer(text: Column | str, answers: Column | str) -> Column:
     """Whether some answer that is not blank is a substring, both normalised."""
-    whole = normalize_answer(text)
-    return F.exists(F.transform(col(answers), normalize_answer), lambda a: (a != "") & F.contains(whole, a))
+    return let(normalize_answer(text), lambda whole: F.exists(F.transform(col(answers), normalize_answer), lambda a: (a != "") & F.contains(whole, a)))
 
 
 def sanitize_identifier(c: Column | str) -> Column:
@@ -105,7 +116,10 @@ def distinct_in_order(c: Column) -> Column:
 
 def query_variants(question: Column | str, most: int = 4) -> Column:
     """The question, its keywords, its first two capitalised phrases, and halves of the keywords."""
-    q, k = col(question), keywords(question)
+    return let(keywords(question), lambda k: _variants(col(question), k, most))
+
+
+def _variants(q: Column, k: Column, most: int) -> Column:
     n, half = F.size(k), F.floor(F.size(k) / 2).cast("int")
     join = lambda a: F.array_join(a, " ")
     phrases = F.regexp_extract_all(q, F.lit(r"((?:[A-Z][\p{L}\p{N}_/-]*(?U:\s*)){1,4})"), 1)
@@ -120,11 +134,12 @@ def query_variants(question: Column | str, most: int = 4) -> Column:
 
 
 def plan_subqueries(question: Column | str, most: int = 3) -> Column:
-    v, k = query_variants(question, most + 1), keywords(question)
-    n = F.size(k)
-    width = F.greatest(F.lit(2), F.floor(n / most).cast("int"))
-    windows = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda i: F.array_join(F.slice(k, i * width + 1, width), " "))
-    return F.when(F.size(v) > 1, F.slice(v, 2, most)).when(n <= 4, F.array().cast("array<string>")).otherwise(F.slice(distinct_in_order(windows), 1, most))
+    def windows(k: Column) -> Column:
+        width = F.greatest(F.lit(2), F.floor(F.size(k) / most).cast("int"))
+        each = F.transform(F.sequence(F.lit(0), F.ceil(F.size(k) / width).cast("int") - 1), lambda i: F.array_join(F.slice(k, i * width + 1, width), " "))
+        return F.when(F.size(k) <= 4, F.array().cast("array<string>")).otherwise(F.slice(distinct_in_order(each), 1, most))
+
+    return let(query_variants(question, most + 1), lambda v: F.when(F.size(v) > 1, F.slice(v, 2, most)).otherwise(let(keywords(question), windows)))
 
 
 def support(answer: Column | str, evidence: Column) -> Column:
@@ -262,8 +277,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """The vector over its length; a zero vector stays."""
+    over = lambda v, n: F.transform(v, lambda x: x.cast("double") / n)
+    return let(a, lambda v: let(F.sqrt(dot(v, v)), lambda n: over(v, F.when(n > 0, n).otherwise(1.0))))
 
 
 def chunk_size_of(system: Column | str) -> Column:

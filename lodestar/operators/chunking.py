@@ -60,7 +60,8 @@ def hashed_bag(c: Column, width: int = 64) -> Column:
     """Offline encoder: unit vector of hashed word counts."""
     words = T.lexical_tokens(c)
     spots = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(width)).cast("int"))
-    return T.unit(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(spots, lambda s: s == i)).cast("double")))
+    counts = lambda w: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(w, lambda s: s == i)).cast("double"))
+    return T.let(spots, lambda w: T.unit(counts(w)))
 
 
 def semantic(docs: DataFrame, name: str, chunk_size: int, similarity_threshold: float = 0.72, min_chunk_tokens: int | None = None, encoder: Callable[[Column], Column] = hashed_bag, **_: object) -> DataFrame:

@@ -33,8 +33,8 @@ def compress(evidence: DataFrame, total_budget: int = 384, most: int = 3, encode
     The budget is shared by a fold over the ranked items of a question, of which there are few."""
     whole = max(total_budget, 64)
     # every sentence is encoded once, before the fold
-    cut = F.transform(T.sentences("text"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), T.count_tokens(s).alias("n"), F.round(T.dot(encoder(s), F.col("__q")), 9).alias("score")))
-    items = evidence.withColumn("__q", encoder(F.col("question"))).withColumn("__s", cut)
+    rate = lambda q: F.transform(T.sentences("text"), lambda s, i: F.struct(i.alias("i"), s.alias("s"), T.count_tokens(s).alias("n"), F.round(T.dot(encoder(s), q), 9).alias("score")))
+    items = evidence.withColumn("__s", T.let(encoder(F.col("question")), rate))
     packed = items.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.col("__s").alias("s"), F.col("text").alias("text")))).alias("e"))
     share = F.greatest(F.lit(48), F.floor(F.lit(whole) / F.greatest(F.lit(1), F.size("e"))).cast("int"))
     kind = "array<struct<rank:int,text:string,sentences:array<string>,support:double,ratio:double>>"
@@ -42,18 +42,20 @@ def compress(evidence: DataFrame, total_budget: int = 384, most: int = 3, encode
 
     def step(state: Column, x: Column) -> Column:
         rated = F.transform(F.array_sort(F.transform(x["s"], lambda y: F.struct((-y["score"]).alias("neg"), y["i"].alias("i"), y["n"].alias("n")))), lambda y: F.struct(y["i"].alias("i"), y["n"].alias("n")))
+        text = lambda p: F.when(F.size(x["s"]) > 1, F.array_join(p["chosen"], " ")).otherwise(T.strip(x["text"]))
+
+        def add(p: Column) -> Column:
+            many, n = F.size(x["s"]) > 1, T.count_tokens(p["text"])
+            row = F.struct(
+                x["rank"].cast("int").alias("rank"), p["text"].alias("text"), F.when(many, p["chosen"]).when(p["text"] != "", F.array(p["text"])).otherwise(F.array().cast("array<string>")).alias("sentences"),
+                F.when(many, F.aggregate(p["scores"], F.lit(0.0), lambda a, b: a + b) / F.size(p["scores"])).otherwise(1.0).alias("support"),
+                F.when(many, n / F.greatest(T.count_tokens(x["text"]), F.lit(1))).otherwise(1.0).alias("ratio"),
+            )
+            return F.when((state["left"] > 0) & (n > 0), F.struct(F.concat(state["out"], F.array(row)).alias("out"), (state["left"] - n).alias("left"))).otherwise(state)
+
         at = _picked(rated, F.least(share, state["left"]), most)
-        chosen = F.transform(at, lambda i: x["s"][i]["s"])
-        scores = F.transform(at, lambda i: x["s"][i]["score"])
-        many = F.size(x["s"]) > 1
-        text = F.when(many, F.array_join(chosen, " ")).otherwise(T.strip(x["text"]))
-        n = T.count_tokens(text)
-        row = F.struct(
-            x["rank"].cast("int").alias("rank"), text.alias("text"), F.when(many, chosen).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>")).alias("sentences"),
-            F.when(many, F.aggregate(scores, F.lit(0.0), lambda a, b: a + b) / F.size(scores)).otherwise(1.0).alias("support"),
-            F.when(many, n / F.greatest(T.count_tokens(x["text"]), F.lit(1))).otherwise(1.0).alias("ratio"),
-        )
-        return F.when((state["left"] > 0) & (n > 0), F.struct(F.concat(state["out"], F.array(row)).alias("out"), (state["left"] - n).alias("left"))).otherwise(state)
+        parts = T.let(at, lambda at: F.struct(F.transform(at, lambda i: x["s"][i]["s"]).alias("chosen"), F.transform(at, lambda i: x["s"][i]["score"]).alias("scores")))
+        return T.let(parts, lambda p: T.let(F.struct(p["chosen"].alias("chosen"), p["scores"].alias("scores"), text(p).alias("text")), add))
 
     folded = packed.select("question_id", F.explode(F.aggregate("e", start, step)["out"]).alias("o"))
     flat = folded.select("question_id", F.col("o.rank").alias("rank"), F.col("o.text").alias("compressed_text"), F.col("o.sentences").alias("selected_sentences"), F.col("o.support").alias("support_score"), F.col("o.ratio").alias("compression_ratio"))

@@ -29,22 +29,27 @@ def extractive_answer(question: Column | str, context: Column | str, most: int =
     q, c = T.col(question), F.coalesce(T.col(context), F.lit(""))
     lines = F.filter(F.transform(F.split(c, r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), T.strip), lambda x: (x != "") & ~x.rlike(r"(?i)^(?:matched queries:|title:|\[\d+\]\s+title:)"))
     lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^#+\s*", ""), r"^[-*]\s*", ""))
-    cleaned = F.when(F.size(lines) > 0, F.array_join(lines, ". ")).otherwise(c)
-    found = T.sentences(cleaned)
     terms = F.filter(F.array_distinct(T.lexical_tokens(q)), lambda t: F.length(t) > 2)
 
-    def rated(s: Column, i: Column) -> Column:
-        words, low = F.array_distinct(T.lexical_tokens(s)), F.lower(s)
-        part = F.exists(terms, lambda t: F.contains(low, t))
-        return F.struct((-(F.size(F.array_intersect(terms, words)) + F.when(part, 0.2).otherwise(0.0))).alias("neg"), i.alias("i"), s.alias("s"), F.size(words).alias("n"))
-
-    every = F.transform(found, rated)
-    long = F.filter(every, lambda x: x["n"] >= 4)
-    plain = F.transform(found, lambda s, i: F.struct(F.lit(-0.0).alias("neg"), i.alias("i"), s.alias("s"), F.lit(0).alias("n")))
-    best = F.slice(F.array_sort(F.when(F.size(long) > 0, long).otherwise(plain)), 1, most)
-    ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    text = F.array_join(F.transform(ordered, lambda x: x["s"]), " ")
-    return F.when(c == "", NO_CONTEXT).when(F.size(found) == 0, F.substring(T.strip(cleaned), 1, characters)).otherwise(T.strip(F.substring(text, 1, characters)))
+    def rated(terms: Column):
+        def one(s: Column, i: Column) -> Column:
+            words = F.array_distinct(T.lexical_tokens(s))
+            part = T.let(F.lower(s), lambda low: F.exists(terms, lambda t: F.contains(low, t)))
+            return F.struct((-(F.size(F.array_intersect(terms, words)) + F.when(part, 0.2).otherwise(0.0))).alias("neg"), i.alias("i"), s.alias("s"), F.size(words).alias("n"))
+
+        return one
+
+    def best(x: Column) -> Column:
+        every = T.let(x["terms"], lambda terms: F.transform(x["found"], rated(terms)))
+        plain = F.transform(x["found"], lambda s, i: F.struct(F.lit(-0.0).alias("neg"), i.alias("i"), s.alias("s"), F.lit(0).alias("n")))
+        chosen = T.let(F.filter(every, lambda y: y["n"] >= 4), lambda long: F.slice(F.array_sort(F.when(F.size(long) > 0, long).otherwise(plain)), 1, most))
+        ordered = F.array_sort(F.transform(chosen, lambda y: F.struct(y["i"].alias("i"), y["s"].alias("s"))))
+        text = F.array_join(F.transform(ordered, lambda y: y["s"]), " ")
+        return F.when(F.size(x["found"]) == 0, F.substring(T.strip(x["cleaned"]), 1, characters)).otherwise(T.strip(F.substring(text, 1, characters)))
+
+    cleaned = T.let(lines, lambda a: F.when(F.size(a) > 0, F.array_join(a, ". ")).otherwise(c))
+    answer = T.let(cleaned, lambda t: T.let(F.struct(t.alias("cleaned"), T.sentences(t).alias("found"), terms.alias("terms")), best))
+    return F.when(c == "", NO_CONTEXT).otherwise(answer)
 
 
 def extractive_chat(messages: Column | str) -> Column:

@@ -47,15 +47,25 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # SQL pieces shared by the oracles
+
+
+class _Sql(str):
+    """SQL with {0} as the place of an expression; other braces are ordinary."""
+
+    def format(self, expression: str) -> str:
+        return self.replace("{0}", expression)
+
+
 _WS = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]"
-_TOKENS = rf"list_filter(string_split(regexp_replace({{0}}, '{_WS}+', ' ', 'g'), ' '), lambda x: x <> '')"
-_LEX = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_TOKENS = _Sql("list_filter(string_split(regexp_replace({0}, '" + _WS + "+', ' ', 'g'), ' '), lambda x: x <> '')")
+_LEX = _Sql(r"regexp_extract_all(lower({0}), '[\p{L}\p{N}_]+')")
 _STOP = "[" + ", ".join(f"'{s}'" for s in T.STOPWORDS) + "]"
-_KEYS = f"list_filter({_LEX}, lambda k: NOT list_contains({_STOP}, k))"
-_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace({{0}}, '([.!?]){_WS}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"
-_GUARD = r"(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)($|[^\p{{L}}\p{{N}}_])"
-_BARE = r"regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g')"
-_NORM = rf"trim(regexp_replace(regexp_replace(regexp_replace({_BARE}, '{_GUARD}', '\1 \2', 'g'), '{_GUARD}', '\1 \2', 'g'), '{_WS.replace('{', '{{').replace('}', '}}')}+', ' ', 'g'))"
+_KEYS = _Sql("list_filter(" + _LEX + ", lambda k: NOT list_contains(" + _STOP + ", k))")
+_TRIM = _Sql("regexp_replace({0}, '^" + _WS + "+|" + _WS + "+$', '', 'g')")
+_SENTENCES = _Sql(r"list_filter(list_transform(string_split(regexp_replace(regexp_replace({0}, '([.!?])" + _WS + r"+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: " + _TRIM.format("x") + "), lambda x: x <> '')")
+_GUARD = r"(^|[^\p{L}\p{N}_])(?:a|an|the)($|[^\p{L}\p{N}_])"
+_BARE = r"regexp_replace(lower({0}), '[!-/:-@\[-`{-~]', '', 'g')"
+_NORM = _Sql("trim(regexp_replace(regexp_replace(regexp_replace(" + _BARE + ", '" + _GUARD + r"', '\1 \2', 'g'), '" + _GUARD + r"', '\1 \2', 'g'), '" + _WS + "+', ' ', 'g'))")
 _TURNS = """t AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
  qa AS (SELECT conv_id, turn, text AS question, next_text AS answer FROM t WHERE role = 'user' AND next_role = 'assistant')"""
 _F1 = """CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1.0 WHEN n = 0 THEN 0.0 ELSE 2.0 * (n / len(p)) * (n / len(g)) / (n / len(p) + n / len(g)) END"""
@@ -221,8 +231,8 @@ _REL = """rel AS (SELECT b.item_id AS query_id, list_sort(list_distinct(list('do
 _FLAGS = f"""WITH {_BM25}, {_REL}, f AS (SELECT h.query_id, h.rank, c.doc_id, coalesce(r.ids, []) AS ids,
   (list_contains(coalesce(r.ids, []), c.doc_id) OR (n.a <> '' AND contains({_NORM.format('c.text')}, n.a))) AS flag
  FROM hits h JOIN chunks c USING (chunk_id) LEFT JOIN rel r ON r.query_id = h.query_id JOIN (SELECT item_id, {_NORM.format('text')} AS a FROM benchmark) n ON n.item_id = h.query_id)"""
-_METRICS = f"""{_FLAGS}, g AS (SELECT query_id, any_value(ids) AS ids, avg(CAST(flag AS INT)) AS p, max(CAST(flag AS INT)) AS some, len(list_intersect(any_value(ids), list_distinct(list(doc_id)))) AS n FROM f GROUP BY query_id),
- m AS (SELECT query_id, p AS precision_at_k, CASE WHEN len(ids) > 0 THEN n / len(ids) ELSE some END AS recall_at_k, CASE WHEN len(ids) > 0 THEN n / len(ids) ELSE 0.0 END AS coverage, CASE WHEN len(ids) > 0 AND n = len(ids) THEN 1.0 ELSE 0.0 END AS all_found FROM g)"""
+_METRICS = f"""{_FLAGS}, g AS (SELECT query_id, any_value(ids) AS ids, avg(CAST(flag AS INT)) AS p, max(CAST(flag AS INT)) AS hit, len(list_intersect(any_value(ids), list_distinct(list(doc_id)))) AS n FROM f GROUP BY query_id),
+ m AS (SELECT query_id, p AS precision_at_k, CASE WHEN len(ids) > 0 THEN n / len(ids) ELSE hit END AS recall_at_k, CASE WHEN len(ids) > 0 THEN n / len(ids) ELSE 0.0 END AS coverage, CASE WHEN len(ids) > 0 AND n = len(ids) THEN 1.0 ELSE 0.0 END AS all_found FROM g)"""
 
 
 def _bm25_hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -344,8 +354,7 @@ def should_refine(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "conversations").select("conv_id", "turn", T.should_refine("text").alias("again"))
 
 
-_TRIM = rf"regexp_replace({{0}}, '^{_WS.replace('{', '{{').replace('}', '}}')}+|{_WS.replace('{', '{{').replace('}', '}}')}+$', '', 'g')"
-_UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_UNIQUE = _Sql("list_filter({0}, lambda x, i: list_position({0}, x) = i)")
 _VARIANTS = rf"""k AS (SELECT item_id, text, {_KEYS.format('text')} AS k, list_filter(list_transform(regexp_extract_all(text, '(?:[A-Z][\p{{L}}\p{{N}}_/-]*{_WS}*){{1,4}}'), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS c FROM benchmark),
  parts AS (SELECT item_id, k, list_filter([{_TRIM.format('text')}, CASE WHEN len(k) > 0 THEN array_to_string(k[1:12], ' ') END, CASE WHEN len(c) > 0 THEN array_to_string(({_UNIQUE.format('c')})[1:2], ' ') END,
    CASE WHEN len(k) >= 6 THEN array_to_string(k[1:len(k) // 2], ' ') END, CASE WHEN len(k) >= 6 THEN array_to_string(k[len(k) // 2 + 1:], ' ') END], lambda x: x IS NOT NULL AND x <> '') AS p FROM k),
@@ -362,8 +371,9 @@ def plan_subqueries(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "benchmark").where(F.size(T.query_variants("text")) > 1).select("item_id", F.array_join(T.plan_subqueries("text"), "|").alias("subqueries"))
 
 
-@query(f"""WITH {_BM25}, h AS (SELECT query_id, rank, doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) > 1 AS again FROM hits JOIN chunks USING (chunk_id))
-SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY again, rank) AS INT) AS rank FROM h QUALIFY rank <= 3""")
+@query(f"""WITH {_BM25}, h AS (SELECT query_id, rank AS place, doc_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) > 1 AS again FROM hits JOIN chunks USING (chunk_id)),
+ n AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY again, place) AS INT) AS rank FROM h)
+SELECT query_id, doc_id, rank FROM n WHERE rank <= 3""")
 def diverse_evidence(spark: SparkSession, sf: str) -> DataFrame:
     hits, _ = _bm25_hits(spark, sf)
     return evidence.diverse(hits, 3).select(F.col("question_id").alias("query_id"), "doc_id", "rank")
@@ -463,7 +473,7 @@ def first_doc_wins(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.lit("q").alias("question"), F.lit("a").alias("answer"),
         F.struct(F.array("source").alias("title"), F.array(F.array(F.col("doc_id").cast("string"))).alias("sentences")).alias("context"), F.struct(F.array("source").alias("title")).alias("supporting_facts"),
     )
-    return datasets.hotpot_like(rows, 1_000_000_000)[0].select("title", F.col("text").cast("long").alias("doc_id"))
+    return datasets.hotpot_like(rows, None)[0].select("title", F.col("text").cast("long").alias("doc_id"))
 
 
 def _files(spark: SparkSession, sf: str, suffix: str, content: F.Column) -> DataFrame:

@@ -36,12 +36,15 @@ def squad_like(rows: DataFrame, max_examples: int, candidate_pool_size: int | No
     return docs.orderBy("title"), examples
 
 
-def hotpot_like(rows: DataFrame, max_examples: int, seed: int = 42, dataset: str = "hotpot_qa") -> tuple[DataFrame, DataFrame]:
-    """rows (id, question, answer, context struct of titles and sentence lists, supporting_facts struct of titles); the first text of a title wins."""
+def hotpot_like(rows: DataFrame, max_examples: int | None, seed: int = 42, dataset: str = "hotpot_qa") -> tuple[DataFrame, DataFrame]:
+    """rows (id, question, answer, context struct of titles and sentence lists, supporting_facts struct of titles); the first text of a title
+    wins; max_examples of None takes all."""
     order = F.col("perm") if "perm" in rows.columns else shuffled("id", seed)
-    picked = rows.withColumn("__o", order).orderBy("__o", "id").limit(max_examples).withColumn("__pos", F.row_number().over(Window.orderBy("__o", "id")))
-    every = picked.select("__pos", F.posexplode(F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences"))).alias("i", "d"))
-    docs = every.groupBy(F.col("d.title").alias("title")).agg(F.min_by(F.array_join("d.sentences", " "), F.struct("__pos", "i")).alias("text"))
+    picked = rows.withColumn("__o", order)
+    if max_examples is not None:
+        picked = picked.orderBy("__o", "id").limit(max_examples)
+    every = picked.select("__o", "id", F.posexplode(F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences"))).alias("i", "d"))
+    docs = every.groupBy(F.col("d.title").alias("title")).agg(F.min_by(F.array_join("d.sentences", " "), F.struct("__o", "id", "i")).alias("text"))
     docs = docs.select(F.concat(F.lit("hotpot::"), "title").alias("doc_id"), "title", T.strip("text").alias("text"), F.lit(dataset).alias("dataset"))
     ids = lambda c: F.transform(F.array_sort(F.array_distinct(F.col(c))), lambda t: F.concat(F.lit("hotpot::"), t))
     examples = picked.select(
