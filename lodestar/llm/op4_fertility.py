@@ -5,7 +5,7 @@ byte-level BPE and under a BPE with byte fallback, the share of byte-fallback
 tokens, and the entropy of the token ids over its highest possible value for
 that many tokens.  Bands come from all documents: for each language and length
 class (powers of four of the token count) the quartiles, widened by WIDEN
-quartile distances.  A class with fewer than LEAST documents takes the bands of
+quartile distances, and more for short texts.  A class with fewer than LEAST documents takes the bands of
 its language, a language with fewer takes those of the whole table.
 
 Defined cases: null or empty or blank text is rejected as "empty"; a null
@@ -24,6 +24,8 @@ from . import common, tokenizers
 
 WIDEN = 4.0
 LEAST = 30
+#: A text of n pieces has bands wider by SHORT / n, as few tokens measure little.
+SHORT = 64
 #: Quartile distances are taken as at least this share of the median.
 FLOOR = 0.02
 METRICS = ("chars_per_token", "chars_per_piece", "fallback_share", "evenness")
@@ -70,7 +72,7 @@ def judge(measured: DataFrame) -> DataFrame:
     reasons = [F.when(F.col("n_tokens") == 0, F.lit("empty"))]
     for m in METRICS:
         q = F.when(F.col("fine_n") >= LEAST, F.col(f"fine_{m}")).when(F.col("mid_n") >= LEAST, F.col(f"mid_{m}")).otherwise(F.col(f"all_{m}"))
-        wide = WIDEN * F.greatest(q[2] - q[0], F.lit(FLOOR) * q[1], F.lit(0.01))
+        wide = WIDEN * F.greatest(q[2] - q[0], F.lit(FLOOR) * q[1], F.lit(0.01)) * (1 + SHORT / F.greatest(F.lit(1), F.col("n_pieces")))
         below, above = F.col(m) < q[0] - wide, F.col(m) > q[2] + wide
         out = {"fallback_share": above, "evenness": below}.get(m, below | above)
         reasons.append(F.when((F.col("n_tokens") > 0) & out, F.lit(m)))
