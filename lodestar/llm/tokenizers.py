@@ -9,7 +9,7 @@ from pathlib import Path
 
 TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts are cut before white space that follows a non-space, where neither kind of tokenizer merges, and by force in a longer run.
+#: Texts are cut before a blank between two non-spaces, where neither kind of tokenizer merges, and by force in a longer run without one.
 BLOCK = 20_000
 
 
@@ -17,9 +17,9 @@ def blocks(text: str, size: int = BLOCK) -> list[str]:
     if len(text) <= size:
         return [text]
     out, at = [], 0
-    edge = re.compile(r"(?<=\S)(?=\s)")
+    edge = re.compile(r"(?<=\S)(?= \S)")
     while len(text) - at > size:
-        m = edge.search(text, at + size, min(len(text), at + 2 * size))
+        m = edge.search(text, at + size, at + 2 * size)
         to = m.start() if m else at + size
         out.append(text[at:to])
         at = to
@@ -59,4 +59,6 @@ def encode_pieces(folder: str, text: str) -> list[int]:
     p = pieces(folder)
     if len(text) <= BLOCK:
         return p.encode(text, num_threads=1)
-    return [i for b in blocks(text) for i in p.encode(b, num_threads=1)]
+    # each block is given a blank in front, as the text is; the one it was cut before goes
+    first, *rest = blocks(text)
+    return [*p.encode(first, num_threads=1), *(i for b in rest for i in p.encode(b.removeprefix(" "), num_threads=1))]
