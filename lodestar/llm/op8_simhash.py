@@ -9,7 +9,7 @@ By the pigeonhole principle some block of any pair within WHOLE is within
 RADIUS, so the first condition loses nothing.
 
 Each block is masked in 2 ** (RADIUS + 1) - 1 ways: bit position i has a vector
-m(i) of RADIUS + 1 bits, and mask v keeps the positions whose m(i) has an even
+m(i) of RADIUS + 1 bits, and mask v keeps the positions whose m(i) has an odd
 product with v.  For any RADIUS positions some v other than 0 is orthogonal to
 all of them, so that two blocks within RADIUS agree under that mask with
 certainty.  Each pair is reported only for the first mask in which it collides.
@@ -62,9 +62,9 @@ def masks(radius: int = RADIUS) -> np.ndarray:
     """2 ** (radius + 1) - 1 masks of BITS bits that cover every choice of radius positions."""
     top = 1 << (radius + 1)
     m = np.random.default_rng(88).permutation(np.resize(np.arange(1, top), BITS))
-    even = np.array([[bin(int(x) & v).count("1") % 2 == 0 for x in m] for v in range(1, top)])
+    odd = np.array([[bin(int(x) & v).count("1") % 2 == 1 for x in m] for v in range(1, top)])
     full = np.zeros((top - 1, 64), bool)
-    full[:, :BITS] = even
+    full[:, :BITS] = odd
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
