@@ -173,7 +173,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 def _verified_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [within_one(x.split(" "), y.split(" ")) for x, y in zip(b["words"].to_pylist(), b["earlier_words"].to_pylist(), strict=True)]
+        ok = [x.count(" ") + 1 >= NEAR_WORDS and within_one(x.split(" "), y.split(" ")) for x, y in zip(b["words"].to_pylist(), b["earlier_words"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b["line"].filter(pa.array(ok, pa.bool_()))], names=["line"])
 
 
@@ -235,7 +235,7 @@ WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM docum
      sub AS (SELECT k, i, min(first) AS earliest FROM del GROUP BY k, i),
      near AS (SELECT words FROM del JOIN sub USING (k, i) WHERE first > earliest
         UNION SELECT del.words FROM del JOIN f ON f.words = del.k AND f.scope IS NULL WHERE f.first < del.first
-        UNION SELECT f.words FROM del JOIN f ON f.words = del.k AND f.scope IS NULL WHERE del.first < f.first),
+        UNION SELECT f.words FROM del JOIN f ON f.words = del.k AND f.scope IS NULL WHERE del.first < f.first AND len(f.w) >= 8),
      gone AS (SELECT o.doc_id, o.line_no FROM o JOIN f ON o.words = f.words AND o.scope IS NOT DISTINCT FROM f.scope
         LEFT JOIN near ON near.words = o.words AND o.scope IS NULL
         WHERE near.words IS NOT NULL OR {d: o.doc_id, n: o.line_no} <> f.first)
