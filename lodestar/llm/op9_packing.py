@@ -32,13 +32,15 @@ _OUT = "doc_id long, piece int, first_token long, n_tokens long, cost double, sh
 def assign(cost: np.ndarray, tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and place in it of each piece; the pieces come in descending cost."""
     bins = max(1, -(-int(tokens.sum()) // capacity))
-    load, room = np.zeros(bins), np.full(bins, capacity, dtype=np.int64)
+    load, room = np.zeros(2 * bins + 8), np.full(2 * bins + 8, capacity, dtype=np.int64)
     to, at = np.empty(len(cost), np.int64), np.empty(len(cost), np.int64)
     for i, (c, n) in enumerate(zip(cost.tolist(), tokens.tolist(), strict=True)):
-        b = int(np.where(room >= n, load, np.inf).argmin())
+        b = int(np.where(room[:bins] >= n, load[:bins], np.inf).argmin())
         if room[b] < n:
-            b = len(load)
-            load, room = np.append(load, np.zeros(max(8, b // 8))), np.append(room, np.full(max(8, b // 8), capacity))
+            b = bins
+            bins += 1
+            if bins > len(load):
+                load, room = np.append(load, np.zeros(bins)), np.append(room, np.full(bins, capacity))
         to[i], at[i] = b, capacity - room[b]
         load[b] += c
         room[b] -= n
