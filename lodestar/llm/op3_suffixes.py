@@ -49,6 +49,8 @@ RUN = 50_000
 #: Bytes of a splitter; less than KEY words have, so that no group is divided.
 SPLIT = 40
 SAMPLES = 20_000
+#: Ranges for each partition of the merge, so that hashing them to partitions evens out.
+RANGES = 4
 _SAMPLED = 64
 
 
@@ -374,7 +376,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     sample = found.where("prefix IS NOT NULL").select("prefix", F.pmod(F.xxhash64("doc_id", "row_key", "spot"), F.lit(1 << 20)).alias("draw"))
     share = (1 << 20) // max(1, -(-sample.count() // SAMPLES))
     drawn = sorted(bytes(r[0]) for r in sample.where(F.col("draw") < share).collect())
-    splitters = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    ranges = RANGES * parts
+    splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
     spots = found.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.collect_set("spot").alias("spots"))
     entries = base.join(spots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key"))).select("doc_id", "row_key", "spots", "text")
     coded = entries.mapInArrow(_run_batches(splitters), "part int, run binary")
