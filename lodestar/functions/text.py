@@ -253,11 +253,11 @@ def should_refine(answer: Column | str) -> Column:
 
 
 def percent(c: Column | str) -> Column:
-    return F.coalesce(F.format_string("%.1f", col(c) * 100), F.lit("--"))
+    return F.when(col(c).isNotNull(), F.format_string("%.1f", col(c) * 100)).otherwise("--")
 
 
 def decimal(c: Column | str) -> Column:
-    return F.coalesce(F.format_string("%.1f", col(c)), F.lit("--"))
+    return F.when(col(c).isNotNull(), F.format_string("%.1f", col(c))).otherwise("--")
 
 
 def int_or_dash(c: Column | str) -> Column:
