@@ -30,10 +30,14 @@ def finish(docs: DataFrame, name: str, pieces: Column) -> DataFrame:
 def fixed(docs: DataFrame, name: str, chunk_size: int, chunk_overlap: int = 0) -> DataFrame:
     """Windows of chunk_size tokens, the last one the first to reach the end."""
     stride = max(1, chunk_size - chunk_overlap)
-    words = docs.withColumn("__w", T.whitespace_tokens("text"))
-    last = F.greatest(F.lit(0), F.ceil((F.size("__w") - chunk_size) / F.lit(float(stride))).cast("int"))
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice("__w", i * stride + 1, chunk_size), " "))
-    return finish(words.where(F.size("__w") > 0), name, windows)
+
+    def windows(w: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(w) - chunk_size) / F.lit(float(stride))).cast("int"))
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * stride + 1, chunk_size), " "))
+        return F.when(F.size(w) > 0, each)
+
+    # bound once: the words would otherwise be split anew for every window
+    return finish(docs, name, T.let(T.whitespace_tokens("text"), windows))
 
 
 def _packed(items: Column, size: int, joined: bool) -> Column:

@@ -29,11 +29,14 @@ def top_k(scored: DataFrame, k: int, *tie: Column | str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(HITS)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, dl): one pass over the text, grouped within the row before it is exploded."""
-    words = chunks.select("chunk_id", T.lexical_tokens("text").alias("w"))
-    counted = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return counted.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+def tokens(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, w): the words of each chunk, laid out by chunk, so that all that follows groups in place."""
+    return chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", T.lexical_tokens("text").alias("w"))
+
+
+def postings(words: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term, tf) from tokens(); needs no shuffle of its own."""
+    return words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def idf_table(post: DataFrame, total: DataFrame) -> DataFrame:
@@ -44,26 +47,35 @@ def idf_table(post: DataFrame, total: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def corpus_size(chunks: DataFrame) -> DataFrame:
+def corpus_size(words: DataFrame) -> DataFrame:
     """One row: n chunks, avgdl."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.lexical_tokens("text"))).alias("avgdl"))
+    return words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
 
 
 class LexicalIndex:
-    """Postings and statistics of a chunk set; persist() keeps them for several queries."""
+    """Words, postings and statistics of a chunk set; persist() keeps them for several queries."""
 
     def __init__(self, chunks: DataFrame):
-        self.chunks = chunks
-        self.postings = postings(chunks)
-        self.total = corpus_size(chunks)
+        self.words = tokens(chunks)
+        self._derive()
+
+    def _derive(self) -> None:
+        self.postings = postings(self.words)
+        self.total = corpus_size(self.words)
         self.idf = idf_table(self.postings, self.total)
 
     def persist(self) -> LexicalIndex:
+        self.words = self.words.persist()
+        self._derive()
         self.postings = self.postings.persist()
         self.total = self.total.persist()
         self.idf = idf_table(self.postings, self.total).persist()
         return self
 
+    def unpersist(self) -> None:
+        for x in (self.words, self.postings, self.total, self.idf):
+            x.unpersist()
+
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all pairs that share a term; repeated query terms count each time."""
@@ -72,16 +84,18 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     # the postings are cut to the queries' terms before anything else; Spark broadcasts the terms if they are few
     matched = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.total.select("avgdl")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    # the postings are laid out by chunk, so this groups in place
+    return matched.groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), 9).alias("score")).select("query_id", "chunk_id", "score")
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """Top k; chunks that share no term score 0 and fill up where fewer than k match or outrank negative scores."""
-    found = bm25_scores(index, queries)
-    # at most k unmatched chunks can be needed for a query: of the first k + matches by id, k are unmatched
-    best = top_k(found, k)
-    lacking = queries.select("query_id").distinct().join(best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id")
-    zeros = lacking.crossJoin(index.chunks.select("chunk_id")).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    best = top_k(bm25_scores(index, queries), k)
+    have = best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("have"))
+    lacking = queries.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).drop("have")
+    # only these few queries are scored again, to know which chunks they do not match
+    matched = bm25_scores(index, lacking).select("query_id", "chunk_id")
+    zeros = lacking.select("query_id").distinct().crossJoin(index.words.select("chunk_id")).join(matched, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.select("query_id", "chunk_id", "score").unionByName(top_k(zeros, k).select("query_id", "chunk_id", "score")), k)
 
 
@@ -219,8 +233,7 @@ class Retrievers:
 
     def release(self) -> None:
         if self._lexical is not None:
-            for x in (self._lexical.postings, self._lexical.total, self._lexical.idf):
-                x.unpersist()
+            self._lexical.unpersist()
         if self._vectors is not None:
             self._vectors.unpersist()
 

@@ -151,7 +151,7 @@ def lexical_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_FIXED}, {_POST} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def df_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.LexicalIndex(_fixed(spark, sf)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.LexicalIndex(_fixed(spark, sf)).persist().idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM hits")
