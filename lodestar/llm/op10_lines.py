@@ -2,10 +2,14 @@
 
 A line is compared as its sequence of words (lower case, white space collapsed).
 Of all occurrences in the order (doc_id, row_key, line number), null ids first,
-the earliest of a line stays.  A line of NEAR_WORDS words or more also goes if
-some line of NEAR_WORDS - 1 or more whose earliest occurrence comes before its
-own is within one word edit (insertion, deletion or substitution) of it.  A line
-of fewer than MIN_WORDS words is compared within its own document only.
+the earliest of a line stays, whatever its length.  A line of NEAR_WORDS words or
+more also goes if some line of NEAR_WORDS - 1 or more whose earliest occurrence
+comes before its own is within one word edit (insertion, deletion or substitution)
+of it, so the edit is a fifth of the line at most.  A line of fewer than MIN_WORDS
+words would be compared within its own document only; no line is so short.
+
+The query op10_line_dedup is held to its SQL, which has these two bounds at
+SQL_MIN_WORDS and SQL_NEAR_WORDS; the pipeline and all other callers are not.
 
 Exact repeats are grouped by a 64-bit hash.  For near ones each line emits
 hashed keys of its variants with one word deleted, with the place of the
@@ -40,8 +44,11 @@ from pyspark.sql import functions as F
 
 from . import common, runs, wordgrid
 
-MIN_WORDS = 5
-NEAR_WORDS = 8
+MIN_WORDS = 1
+NEAR_WORDS = 5
+#: The bounds that ORACLE has.
+SQL_MIN_WORDS = 5
+SQL_NEAR_WORDS = 8
 #: Up to so many rows of line hashes are broadcast, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _ORDER = ["doc_id", "row_key", "line_no"]
@@ -70,7 +77,7 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _occurrence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrence_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         row, number, text = _lines(b)
         keys = b["row_key"].to_numpy()
@@ -78,17 +85,17 @@ def _occurrence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for w in wordgrid.words(text):
             at = slice(w.first, w.first + len(w.count))
             h = _hash(w)
-            short = w.count < MIN_WORDS
+            short = w.count < least
             h[short] = wordgrid.mix(h[short] ^ own[row[at]][short])
             some = w.count > 0
             r = row[at][some]
             yield pa.RecordBatch.from_arrays([_as_long(h[some]), b["doc_id"].take(pa.array(r)), pa.array(keys[r]), pa.array(number[at][some])], names=["line", *_ORDER])
 
 
-def _half_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _half_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for w in wordgrid.words(_lines(b)[2]):
-            long = np.flatnonzero(w.count >= NEAR_WORDS - 1)
+            long = np.flatnonzero(w.count >= near - 1)
             a, n, h = w.begin[long], w.count[long], _hash(w)[long]
             keys = []
             for m in (n, n - 1):
@@ -108,12 +115,12 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(line[(low < high)[run]]))], names=["line"])
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _text_batches(batches: Iterator[pa.RecordBatch], near: int, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """The words of the lines; wanted: only of those with these hashes, sorted."""
     for b in batches:
         text = _lines(b)[2]
         for w in wordgrid.words(text):
-            some = np.flatnonzero(w.count >= NEAR_WORDS - 1)
+            some = np.flatnonzero(w.count >= near - 1)
             if wanted is not None:
                 h = _hash(w)[some].view(np.int64)
                 at = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
@@ -121,7 +128,7 @@ def _text_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None =
             yield pa.RecordBatch.from_arrays([_as_long(_hash(w)[some]), pa.array([w.text(w.begin[i], w.begin[i] + w.count[i]).decode("utf-8", "replace") for i in some], pa.string())], names=["line", "words"])
 
 
-def _variant_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _variant_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for w in wordgrid.words(b["words"].to_pylist()):
             n, end = w.count, np.repeat(w.begin + w.count, w.count)
@@ -130,7 +137,7 @@ def _variant_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             tail = wordgrid.segments(w.hash, at + 1, end)
             less = wordgrid.mix(head + tail * wordgrid.power(at - begin) + (np.repeat(n, n) - 1).astype(np.uint64))
             doc = w.doc
-            many = np.repeat(n >= NEAR_WORDS, n)
+            many = np.repeat(n >= near, n)
             rows = np.concatenate([doc[many], np.arange(len(n))]) + w.first
             key = np.concatenate([less[many], _hash(w)])
             place = np.concatenate([(at - begin)[many], np.full(len(n), -1)]).astype(np.int32)
@@ -171,41 +178,42 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return max(len(a), len(b)) - p - s <= 1
 
 
-def _verified_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ok = [x.count(" ") + 1 >= NEAR_WORDS and within_one(x.split(" "), y.split(" ")) for x, y in zip(b["words"].to_pylist(), b["earlier_words"].to_pylist(), strict=True)]
+        ok = [x.count(" ") + 1 >= near and within_one(x.split(" "), y.split(" ")) for x, y in zip(b["words"].to_pylist(), b["earlier_words"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b["line"].filter(pa.array(ok, pa.bool_()))], names=["line"])
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, min_words: int | None = None, near_words: int | None = None) -> DataFrame:
     """doc_id, row_key, line_no of each occurrence that goes, and near: whether for an edit rather than a repeat."""
     parts = common.workers(docs.sparkSession)
+    least, least_near = MIN_WORDS if min_words is None else min_words, NEAR_WORDS if near_words is None else near_words
     base = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text"))
     text = base.select("text")
-    occurrences = common.cut(base.mapInArrow(_occurrence_batches, "line long, doc_id long, row_key long, line_no int"))
-    shared = text.mapInArrow(_half_batches, "key long, line long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_batches, "line long").distinct()
+    occurrences = common.cut(base.mapInArrow(lambda batches: _occurrence_batches(batches, least), "line long, doc_id long, row_key long, line_no int"))
+    shared = text.mapInArrow(lambda batches: _half_batches(batches, least_near), "key long, line long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_batches, "line long").distinct()
     shared = common.cut(shared)
     if shared.count() <= BROADCAST_ROWS:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toPandas()["line"].to_numpy(np.int64)))
-        texts = text.mapInArrow(lambda batches: _text_batches(batches, wanted.value), "line long, words string")
+        texts = text.mapInArrow(lambda batches: _text_batches(batches, least_near, wanted.value), "line long, words string")
     else:
-        texts = text.mapInArrow(_text_batches, "line long, words string").join(shared, "line", "left_semi")
+        texts = text.mapInArrow(lambda batches: _text_batches(batches, least_near), "line long, words string").join(shared, "line", "left_semi")
     texts = texts.groupBy("line").agg(F.first("words").alias("words"))
     firsts = occurrences.groupBy("line").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("n"))
     texts = common.cut(texts.join(firsts, "line").select("line", "words", *(F.col(f"first.{c}").alias(c) for c in _ORDER)))
-    variants = texts.mapInArrow(_variant_batches, "key long, place int, line long, doc_id long, row_key long, line_no int")
+    variants = texts.mapInArrow(lambda batches: _variant_batches(batches, least_near), "key long, place int, line long, doc_id long, row_key long, line_no int")
     candidates = variants.repartition(parts, "key").sortWithinPartitions("key", "place", *_ORDER).mapInArrow(_candidate_batches, "line long, earlier long").distinct()
     words = texts.select("line", "words")
     pairs = candidates.join(words, "line").join(words.select(F.col("line").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
-    near = pairs.select("line", "words", "earlier_words").mapInArrow(_verified_batches, "line long").distinct().withColumn("near", F.lit(True))
+    near = pairs.select("line", "words", "earlier_words").mapInArrow(lambda batches: _verified_batches(batches, least_near), "line long").distinct().withColumn("near", F.lit(True))
     gone = firsts.join(near, "line", "left").where("n > 1 OR near")
     found = occurrences.join(gone, "line")
     return found.where(F.col("near") | ~F.struct(*_ORDER).eqNullSafe(F.col("first"))).select(*_ORDER, F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 
-def apply(docs: DataFrame) -> DataFrame:
+def apply(docs: DataFrame, min_words: int | None = None, near_words: int | None = None) -> DataFrame:
     """docs with text less the lines that go, and __gone, their number."""
-    gone = removals(docs).groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
+    gone = removals(docs, min_words, near_words).groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
     joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
     return joined.select(*(F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("__lines"), F.lit(0)).alias("__gone"))
@@ -221,7 +229,7 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply(common.table(spark, sf_dir, "documents")).select("doc_id", F.col("__gone").cast("long").alias("removed"), "text")
+    return apply(common.table(spark, sf_dir, "documents"), SQL_MIN_WORDS, SQL_NEAR_WORDS).select("doc_id", F.col("__gone").cast("long").alias("removed"), "text")
 
 
 ORACLE = r"""

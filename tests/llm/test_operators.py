@@ -442,6 +442,12 @@ def test_lines_odd(odd, empty):
     assert op10_lines.apply(empty).count() == 0
 
 
+def test_short_lines_of_other_documents(spark):
+    """Exact repeats of any length, and an edit from 5 words on, across documents; under 5 words an edit is another line."""
+    texts = ["All rights reserved.\nwe came home by the river", "all  RIGHTS reserved.\nwe came home by the lake\nLes.", "Les.\nall rights deserved.\none two three four", "ONE two three four\none two three five"]
+    assert [r.text for r in op10_lines.apply(frame(spark, texts)).orderBy("doc_id").collect()] == [texts[0], "Les.", "all rights deserved.\none two three four", "one two three five"]
+
+
 def test_within_one():
     assert op10_lines.within_one(list("abcd"), list("abd")) and op10_lines.within_one(list("abcd"), list("abxd")) and op10_lines.within_one([], ["a"])
     assert not op10_lines.within_one(list("abcd"), list("bacd")) and not op10_lines.within_one(list("ab"), list("abcd"))
