@@ -4,9 +4,12 @@ Two public vocabularies measure each text: characters per token under a
 byte-level BPE and under a BPE with byte fallback, the share of byte-fallback
 tokens, and the entropy of the token ids over its highest possible value for
 that many tokens.  Bands come from all documents: for each language and length
-class (powers of four of the token count) the quartiles, widened by WIDEN
-quartile distances, and more for short texts.  A class with fewer than LEAST documents takes the bands of
-its language, a language with fewer takes those of the whole table.
+class (powers of four of the token count, the first two in one) the quartiles,
+widened by WIDEN quartile distances.  Short texts, of under 64 tokens, have their
+own widening, SHORT_WIDEN.  Both are set so that at most 1 in 500 of the documents
+labelled good at sf0.1 is rejected.  A class with fewer than LEAST documents takes
+the bands of its language, or for short texts first those of its length in all
+languages; a language with fewer takes those of the whole table.
 
 Defined cases: null or empty or blank text is rejected as "empty"; a null
 language counts as "und"; repeated rows are each judged, alike; an empty table
@@ -22,10 +25,13 @@ from pyspark.sql import functions as F
 
 from . import common, tokenizers
 
-WIDEN = 4.0
+WIDEN = 2.5
+SHORT_WIDEN = 4.0
 LEAST = 30
-#: A text of n pieces has bands wider by SHORT / n, as few tokens measure little.
-SHORT = 64
+#: Length classes up to this one hold the short texts.
+SHORT_CLASS = 2
+#: A longer text of n pieces has bands wider by NOISE / n, at most twice as wide, as few tokens measure little.
+NOISE = 64
 #: Quartile distances are taken as at least this share of the median.
 FLOOR = 0.02
 METRICS = ("chars_per_token", "chars_per_piece", "fallback_share", "evenness")
@@ -53,7 +59,7 @@ def measure(docs: DataFrame, folder: str = tokenizers.TOKENIZER_DIR) -> DataFram
         return pd.DataFrame([measure_text(t, folder) for t in text], columns=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     found = docs.select("doc_id", common.row_key().alias("row_key"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), fertility(F.col("text")).alias("m"))
-    return found.select("doc_id", "row_key", "lang", "m.*").withColumn("size_class", F.when(F.col("n_tokens") > 0, F.floor(F.log2("n_tokens") / 2)).cast("int"))
+    return found.select("doc_id", "row_key", "lang", "m.*").withColumn("size_class", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(1), F.floor(F.log2("n_tokens") / 2))).cast("int"))
 
 
 def _bands(measured: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -63,16 +69,18 @@ def _bands(measured: DataFrame, keys: list[str], tag: str) -> DataFrame:
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """The measures with reasons (array of the bands left) and keep.  measured is read four times; it should be stored."""
+    """The measures with reasons (array of the bands left) and keep.  measured is read five times; it should be stored."""
     x = measured
-    for keys, tag in ((["lang", "size_class"], "fine"), (["lang"], "mid")):
+    for keys, tag in ((["lang", "size_class"], "fine"), (["lang"], "mid"), (["size_class"], "size")):
         b = _bands(measured, keys, tag)
-        x = x.join(F.broadcast(b), keys, "left") if tag == "mid" else x.join(b, keys, "left")
+        x = x.join(b, keys, "left") if tag == "fine" else x.join(F.broadcast(b), keys, "left")
     x = x.crossJoin(F.broadcast(_bands(measured, [], "all")))
+    short = F.col("size_class") <= SHORT_CLASS
+    widen = F.when(short, SHORT_WIDEN).otherwise(WIDEN * (1 + NOISE / F.greatest(F.lit(NOISE), F.col("n_pieces"))))
     reasons = [F.when(F.col("n_tokens") == 0, F.lit("empty"))]
     for m in METRICS:
-        q = F.when(F.col("fine_n") >= LEAST, F.col(f"fine_{m}")).when(F.col("mid_n") >= LEAST, F.col(f"mid_{m}")).otherwise(F.col(f"all_{m}"))
-        wide = WIDEN * F.greatest(q[2] - q[0], F.lit(FLOOR) * q[1], F.lit(0.01)) * (1 + SHORT / F.greatest(F.lit(1), F.col("n_pieces")))
+        q = F.when(F.col("fine_n") >= LEAST, F.col(f"fine_{m}")).when(short & (F.col("size_n") >= LEAST), F.col(f"size_{m}")).when(F.col("mid_n") >= LEAST, F.col(f"mid_{m}")).otherwise(F.col(f"all_{m}"))
+        wide = widen * F.greatest(q[2] - q[0], F.lit(FLOOR) * q[1], F.lit(0.01))
         below, above = F.col(m) < q[0] - wide, F.col(m) > q[2] + wide
         out = {"fallback_share": above, "evenness": below}.get(m, below | above)
         reasons.append(F.when((F.col("n_tokens") > 0) & out, F.lit(m)))

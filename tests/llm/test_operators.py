@@ -160,6 +160,16 @@ def test_fertility_bands(spark, odd, empty):
     assert op4_fertility.decide(empty).count() == 0
 
 
+def test_fertility_short_and_nearer_junk(spark):
+    """Junk of few tokens, and longer junk about 3 quartile distances out, goes; clean texts of the same lengths stay."""
+    rng = random.Random(7)
+    short = [prose(rng, rng.randint(4, 9)) for _ in range(150)]
+    long = [prose(rng, rng.randint(100, 140)) for _ in range(200)]
+    junk = ["\u2500\u2501\u2502 \u2503\u2504\u2505", " ".join(w + "%%%" if i % 3 == 0 else w for i, w in enumerate(prose(rng, 120).split()))]
+    got = op4_fertility.decide(frame(spark, short + long + junk)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got if not r.keep] == [350, 351]
+
+
 # 5
 
 
