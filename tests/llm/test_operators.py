@@ -268,6 +268,19 @@ def test_lm_learns(spark, monkeypatch, odd, empty):
     assert op6_lm.scored(empty).count() == 0
 
 
+def test_lm_trains_on_every_document(spark):
+    """A table of any one document moves the parameters, at the share in use."""
+    rng = random.Random(8)
+    for text in (prose(rng, 40) for _ in range(3)):
+        tokens = common.cut(op6_lm.encoded(frame(spark, [text]), tokenizers.TOKENIZER_DIR))
+        counts = op6_lm.counted(tokens)
+        v = op6_lm.Vocabulary.of(counts)
+        p = op6_lm.start(counts, v)
+        q = op6_lm.trained(tokens, p, v)
+        s = op6_lm.Strides.of([np.array(tokenizers.encode_ranks(tokenizers.TOKENIZER_DIR, text))], v)
+        assert op6_lm.score(q, s, v).sum() > op6_lm.score(p, s, v).sum()
+
+
 # 7
 
 
