@@ -33,7 +33,7 @@ def strip(c: Column | str) -> Column:
 
 
 def whitespace_tokens(c: Column | str) -> Column:
-    return F.filter(F.split(strip(c), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(col(c), r"(?U)\s+"), lambda x: x != "")
 
 
 def count_tokens(c: Column | str) -> Column:

@@ -11,6 +11,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from lodestar.operators.chunking import hashed_bag
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query vectors of up to so many bytes are broadcast; more are cross-joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Up to so many queries are matched as term matrices, so many in one scan; more are joined with the postings.
+MATRIX_QUERIES, MATRIX_SLICE = 2_000, 250
 HITS = ["query_id", "chunk_id", "score", "rank"]
 
 
@@ -30,18 +34,18 @@ def top_k(scored: DataFrame, k: int, *tie: Column | str) -> DataFrame:
 
 
 def tokens(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, w): the words of each chunk, laid out by chunk, so that all that follows groups in place."""
-    return chunks.select("chunk_id", "text").repartition("chunk_id").select("chunk_id", T.lexical_tokens("text").alias("w"))
+    """(chunk_id, w): the words of each chunk; the texts stay where they are read."""
+    return chunks.select("chunk_id", T.lexical_tokens("text").alias("w"))
 
 
 def postings(words: DataFrame) -> DataFrame:
-    """(chunk_id, dl, term, tf) from tokens(); needs no shuffle of its own."""
+    """(chunk_id, dl, term, tf) from tokens(); counted within each task before anything is exchanged."""
     return words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def idf_table(post: DataFrame, total: DataFrame) -> DataFrame:
+def idf_table(words: DataFrame, total: DataFrame) -> DataFrame:
     """(term, df, idf): negative values become EPSILON times the mean over the whole vocabulary."""
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total.select("n")))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total.select("n")))
     raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -53,52 +57,119 @@ def corpus_size(words: DataFrame) -> DataFrame:
 
 
 class LexicalIndex:
-    """Words, postings and statistics of a chunk set; persist() keeps them for several queries."""
+    """Words and statistics of a chunk set; persist() keeps them for several queries."""
 
     def __init__(self, chunks: DataFrame):
         self.words = tokens(chunks)
         self._derive()
 
     def _derive(self) -> None:
-        self.postings = postings(self.words)
         self.total = corpus_size(self.words)
-        self.idf = idf_table(self.postings, self.total)
+        self.idf = idf_table(self.words, self.total)
 
     def persist(self) -> LexicalIndex:
         self.words = self.words.persist()
         self._derive()
-        self.postings = self.postings.persist()
         self.total = self.total.persist()
-        self.idf = idf_table(self.postings, self.total).persist()
+        self.idf = self.idf.persist()
         return self
 
     def unpersist(self) -> None:
-        for x in (self.words, self.postings, self.total, self.idf):
+        for x in (self.words, self.total, self.idf):
             x.unpersist()
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all pairs that share a term; repeated query terms count each time."""
+def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, term, w) of the known terms; repeated ones count each time."""
     terms = queries.select("query_id", F.explode(T.lexical_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = terms.join(index.idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
-    # the postings are cut to the queries' terms before anything else; Spark broadcasts the terms if they are few
-    matched = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.total.select("avgdl")))
+    return terms.join(index.idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
+
+
+def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of all pairs that share a term."""
+    # the words are cut to the queries' terms before they are counted; Spark broadcasts the terms if they are few
+    weighted = query_weights(index, queries)
+    known = index.words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(weighted.select("term").distinct(), "term", "left_semi")
+    post = known.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    matched = post.join(weighted, "term").crossJoin(F.broadcast(index.total.select("avgdl")))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # the postings are laid out by chunk, so this groups in place
-    return matched.groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), 9).alias("score")).select("query_id", "chunk_id", "score")
+    return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Top k; chunks that share no term score 0 and fill up where fewer than k match or outrank negative scores."""
-    best = top_k(bm25_scores(index, queries), k)
+    """Top k; chunks that share no term score 0 and fill up where fewer than k match or outrank negative scores.
+
+    Up to MATRIX_QUERIES queries go as matrices of term weights to every task; more are
+    joined with the postings.  Both give the same scores."""
+    return (bm25_matrix if queries.count() <= MATRIX_QUERIES else bm25_join)(index, queries, k)
+
+
+def bm25_join(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
+    scores = bm25_scores(index, queries)
+    best = top_k(scores, k)
     have = best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("have"))
     lacking = queries.join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).drop("have")
-    # only these few queries are scored again, to know which chunks they do not match
-    matched = bm25_scores(index, lacking).select("query_id", "chunk_id")
-    zeros = lacking.select("query_id").distinct().crossJoin(index.words.select("chunk_id")).join(matched, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    # of a query's unmatched chunks, the first k are among the k + m lowest of all, m being its matches
+    matched = bm25_scores(index, lacking).select("query_id", "chunk_id").persist()
+    many = lacking.select("query_id").distinct().join(matched.groupBy("query_id").agg(F.count("*").alias("m")), "query_id", "left").fillna(0)
+    most = many.agg(F.max("m")).first()[0] or 0
+    low = index.words.select("chunk_id").orderBy("chunk_id").limit(k + most).withColumn("place", F.row_number().over(Window.orderBy("chunk_id")))
+    zeros = many.select("query_id", F.explode(F.sequence(F.lit(1), (F.col("m") + k).cast("int"))).alias("place")).join(low, "place").join(matched, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(best.select("query_id", "chunk_id", "score").unionByName(top_k(zeros, k).select("query_id", "chunk_id", "score")), k)
 
 
+def bm25_matrix(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
+    """Saturated counts of a batch of chunks by terms, times terms by queries; each task sends its own best k of a query."""
+    kind = dict(queries.dtypes)["query_id"], dict(index.words.dtypes)["chunk_id"]
+    schema = f"query_id {kind[0]}, chunk_id {kind[1]}, score double"
+    rows = queries.select("query_id").distinct().toPandas()["query_id"].to_numpy()
+    if not len(rows):
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+    weights, average = query_weights(index, queries).toPandas(), index.total.first()["avgdl"] or 1.0
+    order = {q: i for i, q in enumerate(rows)}
+    at = weights["query_id"].map(order).to_numpy(np.int64)
+    parts = []
+    for first in range(0, len(rows), MATRIX_SLICE):
+        own = (at >= first) & (at < first + MATRIX_SLICE)
+        terms = {t: i for i, t in enumerate(dict.fromkeys(weights["term"][own]))}
+        matrix = np.zeros((len(terms), len(rows[first : first + MATRIX_SLICE])))
+        matrix[weights["term"][own].map(terms).to_numpy(np.int64), at[own] - first] = weights["w"][own]
+        known = queries.sparkSession.sparkContext.broadcast((rows[first : first + MATRIX_SLICE], terms, matrix))
+
+        def local(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            ids, terms, matrix = known.value
+            found, best = pa.array(list(terms), pa.string()), None
+            for big in batches:
+                for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
+                    w = b["w"]
+                    place = pc.index_in(w.flatten(), found)
+                    size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
+                    hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+                    flat = np.repeat(np.arange(len(size)), size)[hit] * len(found) + place.drop_null().to_numpy().astype(np.int64)
+                    tf = np.bincount(flat, minlength=len(size) * len(found)).reshape(len(size), len(found)).astype(np.float64)
+                    tf *= (K1 + 1) / np.maximum(tf + (K1 * (1 - B + B * size / average))[:, None], 1e-300)
+                    score, names = np.round(tf @ matrix, 9).T, np.broadcast_to(np.array(b["chunk_id"].to_pylist(), object), (len(ids), len(size)))
+                    if best is not None:
+                        score, names = np.concatenate([best[0], score], 1), np.concatenate([best[1], names], 1)
+                    keep = np.stack([_first(score[r], names[r], k) for r in range(len(ids))])
+                    best = np.take_along_axis(score, keep, 1), np.take_along_axis(names, keep, 1)
+            if best is not None:
+                n = best[0].shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel().tolist()), pa.array(best[0].ravel() + 0.0)], names=["query_id", "chunk_id", "score"])
+
+        parts.append(index.words.select("chunk_id", "w").mapInArrow(local, schema))
+    return top_k(reduce(DataFrame.unionByName, parts), k)
+
+
+def _first(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best by score, then name."""
+    if len(score) <= k:
+        return np.arange(len(score))
+    limit = np.partition(score, len(score) - k)[len(score) - k]
+    some = np.flatnonzero(score >= limit)
+    return some[np.lexsort((names[some], -score[some]))[:k]]
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int, small: bool | None = None) -> DataFrame:
     """Exact inner product of chunks (chunk_id, vector) and queries (query_id, vector).
 
@@ -135,7 +206,7 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, small: bool | None = No
                     score, names = np.concatenate([best[0], score], 1), np.concatenate([best[1], np.broadcast_to(names, (len(ids), len(names)))], 1)
                 else:
                     names = np.broadcast_to(names, (len(ids), len(names)))
-                keep = np.stack([np.lexsort((names[r], -score[r]))[:k] for r in range(len(ids))])
+                keep = np.stack([_first(score[r], names[r], k) for r in range(len(ids))])
                 best = np.take_along_axis(score, keep, 1), np.take_along_axis(names, keep, 1)
             if best is not None:
                 yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "chunk_id": best[1].ravel(), "score": best[0].ravel()})

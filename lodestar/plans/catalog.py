@@ -12,6 +12,7 @@ from lodestar.operators import chunking, evaluation, evidence, generation, retri
 from lodestar.plans import live, report
 from lodestar.sources import datasets, uploads
 from lodestar.sources.results import chunk_digest
+from lodestar.storage import table as _table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select(F.concat(F.lit("doc::"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("source").alias("title"), "text", F.col("lang").alias("dataset"))
 
@@ -170,14 +167,14 @@ def bm25_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 # dense retrieval and fusion
 
-_DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), qv AS (SELECT * FROM v WHERE vec_id % 25 = 0),
+_DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), qv AS (SELECT * FROM v),
  ds AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.e, v.e), 9) AS score FROM qv q, v),
  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 20)"""
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v = _table(spark, sf, "embeddings")
-    return v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM dense WHERE rank <= 4")
@@ -192,7 +189,7 @@ _SPARSE = """sp AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, CAST(CASE
 def _two_lists(spark: SparkSession, sf: str) -> list[DataFrame]:
     """The dense list, and one of equal labels first as the second."""
     v = _table(spark, sf, "embeddings")
-    same = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).crossJoin(v.select(F.col("vec_id").alias("chunk_id"), "label"))
+    same = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).crossJoin(v.select(F.col("vec_id").alias("chunk_id"), "label"))
     second = retrieval.top_k(same.select("query_id", "chunk_id", (F.col("l") == F.col("label")).cast("double").alias("score")), 20)
     return [retrieval.dense(*_vectors(spark, sf), 20), second]
 
@@ -287,11 +284,13 @@ def exact_match(spark: SparkSession, sf: str) -> DataFrame:
     return _turns(spark, sf).select("conv_id", "turn", T.exact_match("question", F.upper("question")).alias("same"), T.exact_match("question", "answer").alias("em"))
 
 
-@query(f"SELECT d.doc_id, b.item_id, (({_NORM.format('b.text')}) <> '' AND contains({_NORM.format('d.text')}, {_NORM.format('b.text')})) AS found FROM documents d, benchmark b WHERE d.doc_id % 20 = 0 AND b.item_id % 4 = 0")
+@query(f"""WITH d AS MATERIALIZED (SELECT doc_id, {_NORM.format('text')} AS t FROM documents), b AS MATERIALIZED (SELECT item_id, {_NORM.format('text')} AS a FROM benchmark)
+SELECT doc_id, item_id, a <> '' AND contains(t, a) AS found FROM d, b""")
 def contains_answer(spark: SparkSession, sf: str) -> DataFrame:
-    d = _table(spark, sf, "documents").where("doc_id % 20 = 0").select("doc_id", F.col("text").alias("t"))
-    b = _table(spark, sf, "benchmark").where("item_id % 4 = 0").select("item_id", "text")
-    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", T.contains_answer("t", F.array("text")).alias("found"))
+    # each text is normalised once and bound, not once a pair; the pairs are the result
+    items = _table(spark, sf, "benchmark").agg(F.collect_list(F.struct("item_id", T.normalize_answer("text").alias("a"))).alias("items"))
+    pairs = T.let(T.normalize_answer("text"), lambda t: F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), ((i["a"] != "") & F.contains(t, i["a"])).alias("found"))))
+    return _table(spark, sf, "documents").select("doc_id", "text").crossJoin(items).select("doc_id", F.inline(pairs))
 
 
 @query(f"{_QA_F1}, z AS (SELECT conv_id, {_F1} AS f1 FROM y) SELECT conv_id % 10 AS bucket, count(*) AS num_examples, round(avg(f1), 6) AS f1_mean, round(coalesce(stddev_samp(f1), 0), 6) AS f1_std, round(min(f1), 6) AS f1_min, round(max(f1), 6) AS f1_max FROM z GROUP BY ALL")
@@ -342,9 +341,9 @@ def compress_answer_quantity(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents").select("doc_id", T.compress_answer(F.lit("How many were there?"), answer).alias("said"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) AS said FROM orders WHERE o_orderkey % 50 = 0")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%B ') || day(o_orderdate) || ', ' || year(o_orderdate) AS said FROM orders")
 def compress_answer_date(spark: SparkSession, sf: str) -> DataFrame:
-    o = _table(spark, sf, "orders").where("o_orderkey % 50 = 0")
+    o = _table(spark, sf, "orders")
     return o.select("o_orderkey", T.compress_answer(F.lit("When was it placed?"), F.concat(F.lit("It was placed on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" by a customer"))).alias("said"))
 
 
@@ -420,9 +419,8 @@ def parametric_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf: str, mode: str) -> DataFrame:
-    docs = _docs(spark, sf).where(F.substring_index("doc_id", "::", -1).cast("long") % 5 == 0)
-    index = live.build_index(docs, "fixed", 128, 16, retriever="bm25")
-    q = _table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    index = live.build_index(_docs(spark, sf), "fixed", 128, 16, retriever="bm25")
+    q = _table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return live.run(index, q, mode).answers.select("question_id", "mode", "answer", "answer_support", "support_label")
 
 

@@ -6,9 +6,12 @@ reproduce; a permutation of one's own may be given as column `perm`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar import storage
 from lodestar.functions import text as T
 
 
@@ -54,13 +57,45 @@ def hotpot_like(rows: DataFrame, max_examples: int | None, seed: int = 42, datas
     return docs, examples
 
 
+#: Consecutive words by which a passage and the documents that hold it are joined.
+GRAM = 3
+
+
+def _grams(words: Column, k: int) -> Column:
+    """Hashes of all runs of k words."""
+    return T.let(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (k - 1))), lambda i: F.xxhash64(*(F.try_element_at(w, i + j) for j in range(k)))))
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of documents whose text holds the item's text as it is.
+
+    All words of a passage but the outer two lie whole in such a document, so the two are
+    joined by the hash of the first GRAM of these inner words and then verified; a passage
+    with fewer inner words is joined by as many as it has.  One of at most two words may lie
+    within a word, so only such are looked for in every document."""
+    words = lambda c: F.split(F.col(c), r"[\x00-\x20]+")
+    inner = items.where("text IS NOT NULL").select("item_id", "text", words("text").alias("__w")).withColumn("__k", F.least(F.lit(GRAM), F.size("__w") - 2))
+    base = docs.where("text IS NOT NULL").select("doc_id", F.col("text").alias("__t"))
+    parts = []
+    for k in sorted(r[0] for r in inner.select("__k").distinct().collect()):
+        own = inner.where(F.col("__k") == k)
+        if k <= 0:
+            parts.append(base.join(own, F.contains("__t", "text")).select("doc_id", "item_id"))
+            continue
+        keyed = own.select("item_id", "text", F.xxhash64(*(F.col("__w")[j] for j in range(1, k + 1))).alias("__h"))
+        # only hashes travel until a document and a passage agree in one
+        grams = base.where(F.size(words("__t")) >= k).select("doc_id", F.explode(F.array_distinct(_grams(words("__t"), k))).alias("__h"))
+        pairs = grams.join(keyed.select("item_id", "__h"), "__h").select("doc_id", "item_id")
+        parts.append(pairs.join(own.select("item_id", "text"), "item_id").join(base, "doc_id").where(F.contains("__t", "text")).select("doc_id", "item_id"))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else docs.select("doc_id").crossJoin(items.select("item_id")).limit(0)
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents and benchmark tables as a corpus with questions; relevant are the documents that contain the passage."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    raw = storage.table(spark, sf_dir, "documents")
     docs = raw.select(F.concat(F.lit("doc::"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("source").alias("title"), "text", F.col("lang").alias("dataset"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(items), F.contains(F.col("t"), F.col("text"))) if items.count() <= 10_000 else docs.select("doc_id", F.col("text").alias("t")).join(items, F.contains(F.col("t"), F.col("text")))
-    relevant = found.groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant_doc_ids"))
+    items = storage.table(spark, sf_dir, "benchmark")
+    relevant = containing(docs, items).groupBy("item_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant_doc_ids"))
     examples = items.join(relevant, "item_id", "left").select(
         F.concat(F.lit("q::"), F.col("item_id").cast("string")).alias("example_id"), F.lit("benchmark").alias("dataset"), F.col("text").alias("question"),
         F.array("text").alias("answers"), F.coalesce("relevant_doc_ids", F.array().cast("array<string>")).alias("relevant_doc_ids"), F.lit("{}").alias("metadata"),

@@ -1,4 +1,4 @@
-"""Where results that cut the lineage are kept: a folder that all executors share."""
+"""Tables as they are read, and the folder, shared by all executors, for results that cut the lineage."""
 
 from __future__ import annotations
 
@@ -8,6 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's rows; those of a small file, whose one row group a single task would read, are dealt out to all cores."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else the folder set with setCheckpointDir; only a local session gets one of its own."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -446,6 +446,36 @@ def test_system_names(spark):
     assert rows.select(schemas.system_name("r", "c", True).alias("n")).first().n == "c"
 
 
+def test_bm25_by_matrix_and_by_join(spark):
+    """Both ways give the same hits, with negative scores, unmatched chunks, repeated terms and empty texts."""
+    rng = random.Random(21)
+    words = ["the", "fox", "sea", "whale", "of", "red", "ice", "zz"]
+    texts = [" ".join(rng.choice(words[:7]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [None, "", "...", "the the the"]
+    chunks = spark.createDataFrame([(f"c{i:03}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(["the of", "zz", "", "red fox red", "ice whale sea the", None])], "query_id int, query string")
+    index = retrieval.LexicalIndex(chunks)
+    for k in (3, 70):
+        one, two = (sorted(map(tuple, f(index, queries, k).collect())) for f in (retrieval.bm25_matrix, retrieval.bm25_join))
+        assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in two] and all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(one, two, strict=True))
+        assert len(one) == 6 * min(k, len(texts))
+    assert retrieval.bm25(index, queries.limit(0), 3).count() == 0
+    assert retrieval.bm25_matrix(retrieval.LexicalIndex(chunks.limit(0)), queries, 3).count() == 0
+
+
+def test_passages_are_found_without_a_nested_loop(spark):
+    rng = random.Random(22)
+    word = lambda: rng.choice(["ab", "cd", "ef", "gh", "ij"])
+    docs = [(f"d{i}", " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(40)] + [("n", None), ("e", ""), ("w", "xab cd\nef  gh")]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 9))] + [(20, docs[3][1][1:14]), (21, "b cd\nef  g"), (22, None), (23, "ab cd ef gh")]
+    d, b = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(items, "item_id int, text string")
+    want = {(x, i) for x, t in docs for i, p in items if t is not None and p is not None and p in t}
+    got = [tuple(r) for r in datasets.containing(d, b).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert datasets.containing(d, b.limit(0)).count() == 0
+    plan = datasets.containing(d, b.where("length(text) > 12"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 # plans as Spark runs them
 
 
