@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.storage import fresh, remove, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+__all__ = ["cut", "first_by_hash", "fresh", "remove", "row_key", "shared_dir", "small", "table", "without", "workers"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """df, stored, and marked for broadcast if it has at most so many rows; beyond that Spark plans a shuffle and AQE splits its skew."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def row_key(text: str = "text") -> Column:
     """Tells rows of one id but different text apart."""
     return F.xxhash64(F.col(text))
