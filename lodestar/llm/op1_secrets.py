@@ -1,23 +1,27 @@
 """Operator 1, secret scans by a character convolutional network.
 
-Candidates are all runs of WIDE or more key characters with a digit in them or of
-mixed case, and all values that follow a name like token or password.  Each is
-seen with LEFT characters before and RIGHT after it; a longer candidate than
-BODY characters is seen in overlapping pieces, and the highest chance counts.  The
-network (embedding, convolution of width KERNEL, maximum over places, logistic
-output) is trained in numpy on labelled findings and its output calibrated on
-held-out ones by Platt scaling.  For each class of candidate the threshold is the
-greatest at which RECALL of the held-out secrets of the class are found.
-
-The labelled findings are made by findings(): formats of public documentation of
-keys and tokens in the contexts of prose, code and settings, against what looks
-alike: digests, commit and trace ids, UUIDs, card and telephone numbers, file
-names, addresses and placeholders.  No table holds such labels.
-
-Defined cases: null and empty texts have no candidates; overlapping candidates
-are merged into the longer; repeated rows each give their candidates; an empty
-table gives no rows; other columns are not looked at.  Secrets are not put out:
-a finding has its place, length, hash and first characters.
+Candidates are all runs of LONG or more key characters of whatever kind, those of WIDE
+or more with a digit in them or of mixed case, and all values that follow a name like
+token or password.  Each is seen with LEFT characters before and RIGHT after it; a
+longer candidate than BODY characters is seen in overlapping pieces, and the highest
+chance counts.  The network (embedding, convolution of width KERNEL, maximum over
+places, logistic output) is trained in numpy on labelled findings and its output
+calibrated on held-out ones by Platt scaling.  For each class of candidate the
+threshold is the greatest at which RECALL of the held-out secrets of the class are
+found.
+
+No table holds labels of secrets, so the labelled findings are made by findings():
+formats of public documentation of keys and tokens, as prose, code and settings name
+them, against what looks alike: digests, commit and trace ids, UUIDs, card and telephone
+numbers, file names, long words, addresses and placeholders.  They are set in passages of
+the table's own documents, of which contexts() takes at most CONTEXTS, the first by
+hash, so that training, calibration and thresholds see what the scan will see.
+
+Defined cases: null and empty texts have no candidates; texts are scanned whole,
+however long; overlapping candidates are merged into the longer; repeated rows and
+equal findings (ties) each come back; row_key tells rows of one doc_id apart; an empty
+table gives no rows, its network is trained without passages; other columns are not looked
+at.  Secrets are not put out: a finding has its place, length, hash and first characters.
 """
 
 from __future__ import annotations
@@ -31,21 +35,24 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
 LEFT, BODY, RIGHT = 24, 64, 8
-WIDE = 12
+WIDE, LONG = 12, 16
 KERNEL, EMBED, FILTERS = 5, 8, 32
-RECALL = 0.98
-TRAINING = 6000
+#: Of the held-out secrets of a class; 0.98 is wanted of secrets elsewhere.
+RECALL = 0.99
+TRAINING = 12_000
 EPOCHS = 8
+CONTEXTS = 500
 CLASSES = ("assigned", "bare")
 _SPAN = LEFT + BODY + RIGHT
 _RUN = re.compile(r"[A-Za-z0-9+/=_\-]{%d,}" % WIDE)
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|apikey|auth|credentials?|private[_-]?key|access[_-]?key)[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"']?([^\s\"',;]{6,})")
-_DIGIT, _MIXED = re.compile(r"\d"), re.compile(r"[a-z][A-Z].*[a-z][A-Z]")
-_OUT = "doc_id long, begin long, until long, kind string, shown string, sha256 string, chance double, secret boolean"
+_KEYLIKE = re.compile(r"\d|[a-z][A-Z]")
+_OUT = "doc_id long, row_key long, begin long, until long, kind string, shown string, sha256 string, chance double, secret boolean"
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -53,7 +60,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(1), m.end(1), "assigned") for m in _NAMED.finditer(text)]
     for m in _RUN.finditer(text):
         x = m.group()
-        if _DIGIT.search(x) or len(x) >= 20 and _MIXED.search(x):
+        if len(x) >= LONG or _KEYLIKE.search(x):
             found.append((m.start(), m.end(), "bare"))
     out: list[tuple[int, int, str]] = []
     for a, z, kind in sorted(found):
@@ -168,8 +175,14 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
-    """Labelled findings: text, from, to, class, 1 for a secret."""
+def contexts(docs: DataFrame, bound: int = CONTEXTS) -> list[str]:
+    """Texts of at most bound documents, the first by hash."""
+    some = docs.where("text IS NOT NULL").select("doc_id", "text")
+    return [r["text"] for r in common.first_by_hash(some, bound, "doc_id", "text").collect()]
+
+
+def findings(n: int, seed: int, passages: list[str] | None = None) -> list[tuple[str, int, int, str, int]]:
+    """Labelled findings: text, from, to, class, 1 for a secret; half of them in passages, if any are given."""
     rng = np.random.default_rng(seed)
     pick = lambda s: s[int(rng.integers(len(s)))]
     draw = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
@@ -178,6 +191,7 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
     syllables = [draw(low, int(rng.integers(1, 4))) + pick("aeiou") + draw(low, int(rng.integers(0, 3))) for _ in range(150)] + ["é", "ñ", "ung", "tion", "ä"]
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
     prose = lambda k: " ".join(word() for _ in range(k))
+    long_word = lambda: "".join(pick(syllables) for _ in range(12))[: int(rng.integers(16, 30))]
     names = ["token", "api_key", "apikey", "secret", "password", "passwd", "auth", "credential", "access_key", "private_key", "client_secret", "auth_token", "db_password"]
 
     def case(x: str) -> str:
@@ -188,7 +202,7 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
             lambda: draw(hexa, pick([32, 40, 40, 64])), lambda: draw(alnum, int(rng.integers(20, 50))), lambda: "AKIA" + draw(up + dig, 16),
             lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: "xoxb-" + draw(dig, 11) + "-" + draw(alnum, 24),
             lambda: "eyJ" + draw(alnum, 20) + "_" + draw(alnum, 40), lambda: draw(b64, 40) + pick(["", "=", "=="]), lambda: "AIza" + draw(alnum + "_-", 35), lambda: "glpat-" + draw(alnum, 20),
-            lambda: "npm_" + draw(alnum, 36),
+            lambda: "npm_" + draw(alnum, 36), lambda: draw(low, int(rng.integers(20, 40))),
         ])()
 
     def assigned(value: str) -> tuple[str, str]:
@@ -205,7 +219,7 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
                 value = case(value) if re.fullmatch("[0-9a-f]+", value) else value
                 before, after = assigned(value)
             else:
-                value = pick([lambda: "AKIA" + draw(up + dig, 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: "xoxb-" + draw(dig, 11) + "-" + draw(alnum, 24), lambda: "AIza" + draw(alnum + "_-", 35), lambda: "glpat-" + draw(alnum, 20), lambda: "eyJ" + draw(alnum, 20) + "_" + draw(alnum, 40)])()
+                value = pick([lambda: "AKIA" + draw(up + dig, 16), lambda: "ghp_" + draw(alnum, 36), lambda: "sk_live_" + draw(alnum, 24), lambda: "xoxb-" + draw(dig, 11) + "-" + draw(alnum, 24), lambda: "AIza" + draw(alnum + "_-", 35), lambda: "glpat-" + draw(alnum, 20), lambda: "eyJ" + draw(alnum, 20) + "_" + draw(alnum, 40), lambda: "ghs_" + draw(alnum, 36), lambda: "npm_" + draw(alnum, 36)])()
                 before, after = pick(["", "Bearer ", "key ", "export X=", '"']), pick(["", '"', " "])
         elif rng.random() < 0.3:
             value = pick([lambda: "your_" + word() + "_here", lambda: "x" * int(rng.integers(6, 20)), lambda: "changeme" + draw(dig, 2), lambda: "${" + word().upper() + "_KEY}", lambda: "<" + word() + "-token>", lambda: "os.environ[" + word(), lambda: "example" + draw(dig, 3), lambda: word() + word() + word(), lambda: "REDACTED" + draw("*", 4), lambda: "getToken(" + word() + ")"])()
@@ -217,11 +231,16 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
                 lambda: ("-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), pick(["", "uuid ", "id=", "request "])), lambda: (draw(dig, 4) + "-" + draw(dig, 2) + "-" + draw(dig, 2) + "T" + draw(dig, 2), ""),
                 lambda: (word() + "/" + word() + "/" + word() + draw(dig, 3), pick(["/", "in ", "./"])), lambda: (word() + "-" + word() + "-" + draw(dig, 4), pick(["", "https://" + word() + ".com/"])),
                 lambda: ("_".join([word(), word(), word(), draw(dig, 2)]), ""), lambda: (word().upper() + "-" + draw(dig, 12), "order "), lambda: ("".join(word().title() for _ in range(5)), "class "),
-                lambda: ("=" * int(rng.integers(8, 30)) + draw(dig, 2) + "-" * 8, ""), lambda: (word() + word() + word() + draw(dig, 2), ""), lambda: ("555-" + draw(dig, 4) + "-" + draw(dig, 8), "+1 "),
+                lambda: ("=" * int(rng.integers(8, 30)) + draw(dig, 2) + "-" * 8, ""), lambda: (word() + word() + word() + draw(dig, 2), ""), lambda: (long_word(), ""), lambda: (case(long_word()).capitalize() if rng.random() < 0.5 else long_word().upper(), ""), lambda: ("555-" + draw(dig, 4) + "-" + draw(dig, 8), "+1 "),
             ])()
             after = ""
-        head = prose(int(rng.integers(0, 8))) + pick([" ", "\n", " | ", "!! ", ""])
-        text = head + before + value + after + pick([" ", "\n", ".", " | ", ", "]) + prose(int(rng.integers(0, 5)))
+        head, tail = prose(int(rng.integers(0, 8))), prose(int(rng.integers(0, 5)))
+        if passages and rng.random() < 0.5:
+            p = pick(passages)
+            i = int(rng.integers(len(p) + 1))
+            head, tail = p[max(0, i - 60) : i], p[i : i + 40]
+        head += pick([" ", " ", "\n", " | ", "!! ", ""])
+        text = head + before + value + after + pick([" ", " ", "\n", ".", " | ", ", "]) + tail
         at = len(head) + len(before)
         for a, z, kind in candidates(text):
             if a < at + len(value) and z > at:
@@ -230,12 +249,11 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, str, int]]:
     return out
 
 
-@cache
-def model(training: int = TRAINING) -> Network:
-    """Trained once a process; a third more findings calibrate it."""
-    known = findings(training, 11)
+def fitted(training: int = TRAINING, passages: list[str] | None = None) -> Network:
+    """A third more findings calibrate the network and set its thresholds."""
+    known = findings(training, 11, passages)
     net = _train(_codes([views(t, a, z)[0] for t, a, z, _, _ in known]), np.array([y for *_, y in known], np.float32))
-    other = findings(training // 3, 12)
+    other = findings(training // 3, 12, passages)
     logit = np.array([net.logits(_codes(views(t, a, z))).max() for t, a, z, _, _ in other])
     y = np.array([x[4] for x in other])
     net.scale, net.shift = _platt(logit, y)
@@ -243,11 +261,17 @@ def model(training: int = TRAINING) -> Network:
     limits = []
     for c in CLASSES:
         own = np.sort(chance[(y == 1) & np.array([x[3] == c for x in other])])
-        limits.append(min(0.5, float(own[int((1 - RECALL) * len(own))])) if len(own) else 0.5)
+        limits.append(float(own[int((1 - RECALL) * len(own))]) if len(own) else 0.5)
     net.thresholds = tuple(limits)
     return net
 
 
+@cache
+def model(training: int = TRAINING) -> Network:
+    """Trained once a process, without passages."""
+    return fitted(training)
+
+
 def scan(docs: DataFrame, net: Network) -> DataFrame:
     """Every candidate of every row, with its calibrated chance and whether that reaches the threshold of its class."""
     known = docs.sparkSession.sparkContext.broadcast(net)
@@ -255,23 +279,24 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = known.value
         for b in batches:
-            ids, rows, seen, owner = b["doc_id"].to_pylist(), [], [], []
+            ids, keys, rows, seen, owner = b["doc_id"].to_pylist(), b["row_key"].to_pylist(), [], [], []
             for d, text in enumerate(b["text"].to_pylist()):
                 for a, z, kind in candidates(text or ""):
                     v = views(text, a, z)
                     owner += [len(rows)] * len(v)
                     seen += v
-                    rows.append((ids[d], a, z, kind, text[a : a + 4], hashlib.sha256(text[a:z].encode("utf-8", "replace")).hexdigest()))
+                    rows.append((ids[d], keys[d], a, z, kind, text[a : a + 4], hashlib.sha256(text[a:z].encode("utf-8", "replace")).hexdigest()))
             chance = np.zeros(len(rows))
             if seen:
                 np.maximum.at(chance, owner, net.chances(_codes(seen)))
-            limit = np.array([net.thresholds[CLASSES.index(r[3])] for r in rows])
-            kinds = [pa.int64()] * 3 + [pa.string()] * 3
+            limit = np.array([net.thresholds[CLASSES.index(r[4])] for r in rows])
+            kinds = [pa.int64()] * 4 + [pa.string()] * 3
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(chance, pa.float64()), pa.array(chance >= limit, pa.bool_())], names=[c.split()[0] for c in _OUT.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(look, _OUT)
+    return docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), "text").mapInArrow(look, _OUT)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents"), model())
+    docs = common.table(spark, sf_dir, "documents")
+    return scan(docs, fitted(passages=contexts(docs)))
