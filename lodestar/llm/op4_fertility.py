@@ -12,8 +12,9 @@ the bands of its language, or for short texts first those of its length in all
 languages; a language with fewer takes those of the whole table.
 
 Defined cases: null or empty or blank text is rejected as "empty"; a null
-language counts as "und"; repeated rows are each judged, alike; an empty table
-gives no rows; other columns are not looked at.  Texts are tokenised whole.
+language counts as "und"; a value on the edge of a band is within it; of equal rows
+(ties, repeats) each is judged, alike; very long texts are tokenised whole, in blocks cut where
+no token crosses; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -69,12 +70,14 @@ def _bands(measured: DataFrame, keys: list[str], tag: str) -> DataFrame:
 
 
 def judge(measured: DataFrame) -> DataFrame:
-    """The measures with reasons (array of the bands left) and keep.  measured is read five times; it should be stored."""
+    """The measures with reasons (array of the bands left) and keep.  measured is read five times; it should be stored.
+
+    The bands have a row for each language and length class.  They are broadcast if counted as
+    few, since a join on so few keys would be skewed; of many, AQE divides the large ones."""
     x = measured
     for keys, tag in ((["lang", "size_class"], "fine"), (["lang"], "mid"), (["size_class"], "size")):
-        b = _bands(measured, keys, tag)
-        x = x.join(b, keys, "left") if tag == "fine" else x.join(F.broadcast(b), keys, "left")
-    x = x.crossJoin(F.broadcast(_bands(measured, [], "all")))
+        x = x.join(common.small(_bands(measured, keys, tag)), keys, "left")
+    x = x.crossJoin(common.small(_bands(measured, [], "all")))
     short = F.col("size_class") <= SHORT_CLASS
     widen = F.when(short, SHORT_WIDEN).otherwise(WIDEN * (1 + NOISE / F.greatest(F.lit(NOISE), F.col("n_pieces"))))
     reasons = [F.when(F.col("n_tokens") == 0, F.lit("empty"))]
