@@ -2,14 +2,11 @@
 
 A line is compared as its sequence of words (lower case, white space collapsed).
 Of all occurrences in the order (doc_id, row_key, line number), null ids first,
-the earliest of a line stays, whatever its length.  A line of NEAR_WORDS words or
-more also goes if some line of NEAR_WORDS - 1 or more whose earliest occurrence
-comes before its own is within one word edit (insertion, deletion or substitution)
-of it, so the edit is a fifth of the line at most.  A line of fewer than MIN_WORDS
-words would be compared within its own document only; no line is so short.
-
-The query op10_line_dedup is held to its SQL, which has these two bounds at
-SQL_MIN_WORDS and SQL_NEAR_WORDS; the pipeline and all other callers are not.
+the earliest of a line stays, whatever its length and document.  The edit bound of
+a line is one word in SHARE: a line of n words also goes if some line whose earliest
+occurrence comes before its own is within min(1, n // SHARE) word edits (insertion,
+deletion or substitution) of it.  So in a line of fewer than SHARE words no edit is
+allowed; in one of a single word, one edit would make every word equal to every other.
 
 Exact repeats are grouped by a 64-bit hash.  For near ones each line emits
 hashed keys of its variants with one word deleted, with the place of the
@@ -26,10 +23,11 @@ their last m // 2.  So each line of n words emits these two halves for m = n and
 m = n - 1, and only lines that share one with another line are given variants.
 Nothing is lost by it, and only those lines' texts are shuffled.
 
-Defined cases: null text stays null and has no lines; blank lines stay; rows of
-the same doc_id and text are one document, all of its rows change alike; lines
-that tie are those of one document row, so none is favoured; an empty table
-gives no rows; other columns are passed through by apply().
+Defined cases: null text stays null and has no lines; blank lines stay; a very
+long line is compared whole, as any other; rows of the same doc_id and text are one
+document, all of its rows change alike; lines that tie are those of one document
+row, so none is favoured; an empty table gives no rows; other columns are passed
+through by apply().
 """
 
 from __future__ import annotations
@@ -38,17 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, runs, wordgrid
 
-MIN_WORDS = 1
-NEAR_WORDS = 5
-#: The bounds that ORACLE has.
-SQL_MIN_WORDS = 5
-SQL_NEAR_WORDS = 8
+SHARE = 5
 #: Up to so many rows of line hashes are broadcast, beyond that they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _ORDER = ["doc_id", "row_key", "line_no"]
@@ -77,19 +70,15 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _occurrence_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _occurrence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         row, number, text = _lines(b)
         keys = b["row_key"].to_numpy()
-        own = wordgrid.mix(pc.fill_null(b["doc_id"], -1).to_numpy().astype(np.int64).view(np.uint64) ^ keys.view(np.uint64))
         for w in wordgrid.words(text):
             at = slice(w.first, w.first + len(w.count))
-            h = _hash(w)
-            short = w.count < least
-            h[short] = wordgrid.mix(h[short] ^ own[row[at]][short])
             some = w.count > 0
             r = row[at][some]
-            yield pa.RecordBatch.from_arrays([_as_long(h[some]), b["doc_id"].take(pa.array(r)), pa.array(keys[r]), pa.array(number[at][some])], names=["line", *_ORDER])
+            yield pa.RecordBatch.from_arrays([_as_long(_hash(w)[some]), b["doc_id"].take(pa.array(r)), pa.array(keys[r]), pa.array(number[at][some])], names=["line", *_ORDER])
 
 
 def _half_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
@@ -184,36 +173,35 @@ def _verified_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([b["line"].filter(pa.array(ok, pa.bool_()))], names=["line"])
 
 
-def removals(docs: DataFrame, min_words: int | None = None, near_words: int | None = None) -> DataFrame:
+def removals(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, row_key, line_no of each occurrence that goes, and near: whether for an edit rather than a repeat."""
     parts = common.workers(docs.sparkSession)
-    least, least_near = MIN_WORDS if min_words is None else min_words, NEAR_WORDS if near_words is None else near_words
     base = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text"))
     text = base.select("text")
-    occurrences = common.cut(base.mapInArrow(lambda batches: _occurrence_batches(batches, least), "line long, doc_id long, row_key long, line_no int"))
-    shared = text.mapInArrow(lambda batches: _half_batches(batches, least_near), "key long, line long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_batches, "line long").distinct()
+    occurrences = common.cut(base.mapInArrow(_occurrence_batches, "line long, doc_id long, row_key long, line_no int"))
+    shared = text.mapInArrow(lambda batches: _half_batches(batches, share), "key long, line long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_batches, "line long").distinct()
     shared = common.cut(shared)
     if shared.count() <= BROADCAST_ROWS:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toPandas()["line"].to_numpy(np.int64)))
-        texts = text.mapInArrow(lambda batches: _text_batches(batches, least_near, wanted.value), "line long, words string")
+        texts = text.mapInArrow(lambda batches: _text_batches(batches, share, wanted.value), "line long, words string")
     else:
-        texts = text.mapInArrow(lambda batches: _text_batches(batches, least_near), "line long, words string").join(shared, "line", "left_semi")
+        texts = text.mapInArrow(lambda batches: _text_batches(batches, share), "line long, words string").join(shared, "line", "left_semi")
     texts = texts.groupBy("line").agg(F.first("words").alias("words"))
     firsts = occurrences.groupBy("line").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("n"))
     texts = common.cut(texts.join(firsts, "line").select("line", "words", *(F.col(f"first.{c}").alias(c) for c in _ORDER)))
-    variants = texts.mapInArrow(lambda batches: _variant_batches(batches, least_near), "key long, place int, line long, doc_id long, row_key long, line_no int")
+    variants = texts.mapInArrow(lambda batches: _variant_batches(batches, share), "key long, place int, line long, doc_id long, row_key long, line_no int")
     candidates = variants.repartition(parts, "key").sortWithinPartitions("key", "place", *_ORDER).mapInArrow(_candidate_batches, "line long, earlier long").distinct()
     words = texts.select("line", "words")
     pairs = candidates.join(words, "line").join(words.select(F.col("line").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
-    near = pairs.select("line", "words", "earlier_words").mapInArrow(lambda batches: _verified_batches(batches, least_near), "line long").distinct().withColumn("near", F.lit(True))
+    near = pairs.select("line", "words", "earlier_words").mapInArrow(lambda batches: _verified_batches(batches, share), "line long").distinct().withColumn("near", F.lit(True))
     gone = firsts.join(near, "line", "left").where("n > 1 OR near")
     found = occurrences.join(gone, "line")
     return found.where(F.col("near") | ~F.struct(*_ORDER).eqNullSafe(F.col("first"))).select(*_ORDER, F.coalesce("near", F.lit(False)).alias("near")).distinct()
 
 
-def apply(docs: DataFrame, min_words: int | None = None, near_words: int | None = None) -> DataFrame:
+def apply(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """docs with text less the lines that go, and __gone, their number."""
-    gone = removals(docs, min_words, near_words).groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
+    gone = removals(docs, share).groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.collect_set("line_no").alias("__lines"))
     joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
     return joined.select(*(F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns), F.coalesce(F.size("__lines"), F.lit(0)).alias("__gone"))
@@ -229,23 +217,23 @@ def keep(docs: DataFrame) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply(common.table(spark, sf_dir, "documents"), SQL_MIN_WORDS, SQL_NEAR_WORDS).select("doc_id", F.col("__gone").cast("long").alias("removed"), "text")
+    return apply(common.table(spark, sf_dir, "documents")).select("doc_id", F.col("__gone").cast("long").alias("removed"), "text")
 
 
 ORACLE = r"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
      raw AS (SELECT doc_id, text, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM parts),
      occ AS (SELECT doc_id, text, line_no, trim(regexp_replace(lower(line), '[\x00-\x20]+', ' ', 'g')) AS words FROM raw),
-     o AS (SELECT *, string_split(words, ' ') AS w, CASE WHEN len(string_split(words, ' ')) < 5 THEN doc_id END AS scope FROM occ WHERE words <> ''),
-     f AS (SELECT words, scope, any_value(w) AS w, min({d: doc_id, n: line_no}) AS first FROM o GROUP BY words, scope),
-     v AS (SELECT words, first, len(w) AS n, unnest(range(0, len(w))) AS i, w FROM f WHERE scope IS NULL AND len(w) >= 8),
+     o AS (SELECT *, string_split(words, ' ') AS w FROM occ WHERE words <> ''),
+     f AS (SELECT words, any_value(w) AS w, min({d: doc_id, n: line_no}) AS first FROM o GROUP BY words),
+     v AS (SELECT words, first, len(w) AS n, unnest(range(0, len(w))) AS i, w FROM f WHERE len(w) >= 5),
      del AS (SELECT words, first, i, array_to_string(w[1:i] || w[i + 2:], ' ') AS k FROM v),
      sub AS (SELECT k, i, min(first) AS earliest FROM del GROUP BY k, i),
      near AS (SELECT words FROM del JOIN sub USING (k, i) WHERE first > earliest
-        UNION SELECT del.words FROM del JOIN f ON f.words = del.k AND f.scope IS NULL WHERE f.first < del.first
-        UNION SELECT f.words FROM del JOIN f ON f.words = del.k AND f.scope IS NULL WHERE del.first < f.first AND len(f.w) >= 8),
-     gone AS (SELECT o.doc_id, o.line_no FROM o JOIN f ON o.words = f.words AND o.scope IS NOT DISTINCT FROM f.scope
-        LEFT JOIN near ON near.words = o.words AND o.scope IS NULL
+        UNION SELECT del.words FROM del JOIN f ON f.words = del.k WHERE f.first < del.first
+        UNION SELECT f.words FROM del JOIN f ON f.words = del.k WHERE del.first < f.first AND len(f.w) >= 5),
+     gone AS (SELECT o.doc_id, o.line_no FROM o JOIN f ON o.words = f.words
+        LEFT JOIN near ON near.words = o.words
         WHERE near.words IS NOT NULL OR {d: o.doc_id, n: o.line_no} <> f.first)
 SELECT raw.doc_id, count(gone.line_no) AS removed, coalesce(string_agg(raw.line, chr(10) ORDER BY raw.line_no) FILTER (WHERE gone.line_no IS NULL), '') AS text
 FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id AND raw.line_no = gone.line_no GROUP BY raw.doc_id

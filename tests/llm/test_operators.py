@@ -424,12 +424,12 @@ def brute_lines(rows):
         for n, line in enumerate((text or "").split("\n")):
             w = tuple(x for x in "".join(c if c > " " else " " for c in line.lower()).split(" ") if x)
             if w:
-                occ.setdefault((w, (doc_id, key) if len(w) < op10_lines.MIN_WORDS else None), []).append(((doc_id is not None, doc_id or 0, key, n), (doc_id, key, n)))
+                occ.setdefault(w, []).append(((doc_id is not None, doc_id or 0, key, n), (doc_id, key, n)))
     first = {k: min(v)[0] for k, v in occ.items()}
     gone = set()
-    for (w, scope), v in occ.items():
-        near = scope is None and len(w) >= op10_lines.NEAR_WORDS and any(s is None and first[u, s] < first[w, scope] and u != w and abs(len(u) - len(w)) <= 1 and len(u) >= op10_lines.NEAR_WORDS - 1 and distance(u, w) <= 1 for u, s in occ)
-        gone |= {p for o, p in v if near or o != first[w, scope]}
+    for w, v in occ.items():
+        near = len(w) >= op10_lines.SHARE and any(first[u] < first[w] and u != w and abs(len(u) - len(w)) <= 1 and (u[:2] == w[:2] or u[-2:] == w[-2:]) and distance(u, w) <= 1 for u in occ)
+        gone |= {p for o, p in v if near or o != first[w]}
     return gone
 
 
