@@ -1,26 +1,31 @@
 """Operator 7, benchmark decontamination by MinHash containment search.
 
 Items and documents are sets of hashed SHINGLE-word shingles (lower case, ASCII
-punctuation as blanks).  Items are partitioned by size: a partition holds sizes
-of (u/2, u].  For it, documents are looked at in windows of five blocks of u/4
-shingles, a block apart, so that a passage of u shingles lies whole in some
-window however long the document is.  The least Jaccard similarity that a
-window with containment THRESHOLD can have follows from the sizes and sets the
-number of MinHash functions, so that a pair is missed with a chance of MISS at
-most.  A window and an item that agree in a MinHash are a candidate, and then
-containment of the item in the whole document is computed exactly.
-
-A MinHash of the item is one of its shingles, so a window that holds too few
-shingles of the items altogether cannot qualify and is passed over: this loses
-nothing and leaves few windows to hash.
+punctuation as blanks).  Wanted are all pairs in which a document holds at least
+THRESHOLD of an item's shingles, wherever in the document they are.
+
+Items are partitioned by size: a partition holds sizes of (u/2, u].  An item's
+sketch is made of its least shingles under a hash, as in bottom-k MinHash.  Of n
+shingles a document that qualifies lacks at most g = n - ceil(THRESHOLD * n), so of a
+sketch of g + s it holds at least s: no pair is missed, at whatever length of the document
+and however scattered the item.  s grows with the size, so that longer items need more
+agreement before they are compared.  The sketches of a partition are one sorted table,
+which the shingles of a document that are items' at all are looked up in; a document
+with fewer of these than the partition's smallest item needs is passed over.  The
+candidates are verified by exact containment in the whole document.
+
+An item of fewer than SHINGLE words has one shingle, all of its words, and is held by a
+document in which they follow each other.
 
 The items are broadcast in slices of at most SLICE_ITEMS, each with its own
 scan of the documents, so that a large benchmark needs no more memory.
 
-Defined cases: items with fewer than SHINGLE words are never found, nor
-anything in null or empty texts; equal (item_id, text) rows of the benchmark
-count once, and equal ids with other text separately; repeated documents give
-repeated rows; empty tables give no rows; other columns are not looked at.
+Defined cases: items without a word are never found, nor anything in null or empty
+texts; very long texts are taken whole; a containment that ties with THRESHOLD counts;
+equal (item_id, text) rows of the benchmark count once, and equal ids with other text
+separately; repeated documents give repeated rows; empty tables give no rows; other
+columns are not looked at.  keep() drops documents only for items of SHINGLE words or
+more: a test answer of a word or two is in clean documents everywhere.
 """
 
 from __future__ import annotations
@@ -37,87 +42,87 @@ from . import common, wordgrid
 
 SHINGLE = 3
 THRESHOLD = 0.7
-MISS = 0.001
 SLICE_ITEMS = 50_000
+#: Part of an item's needed shingles that its sketch has to show.
+SHOWN = 4
 _BITS = 22
-_SEEDS = np.random.default_rng(7).integers(1, 2**63, 512, dtype=np.uint64)
-_OUT = "item_id long, doc_id long, row_key long, shared long, shingles long, containment double"
+_SEED = np.random.default_rng(7).integers(1, 2**63, dtype=np.uint64)
+_OUT = "item_id long, doc_id long, row_key long, shared long, shingles long, containment double, words long"
+
+
+def _grams(w: wordgrid.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, told apart by k, and texts of all k-word shingles."""
+    g, at = w.grams(k)
+    return wordgrid.mix(g + np.uint64(k)), w.doc[at]
 
 
 class Index:
     """Items of one slice, by size partition."""
 
-    def __init__(self, ids: list, texts: list[str | None], k: int = SHINGLE, threshold: float = THRESHOLD, miss: float = MISS):
+    def __init__(self, ids: list, texts: list[str | None], k: int = SHINGLE, threshold: float = THRESHOLD):
         self.k, self.threshold, self.ids = k, threshold, ids
         self.sets: list[np.ndarray] = []
+        self.words: list[int] = []
         for w in wordgrid.words(texts, plain=True):
-            g, at = w.grams(k)
-            edge = np.searchsorted(w.doc[at], np.arange(len(w.count) + 1))
-            self.sets += [np.unique(g[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            some = {n: _grams(w, n) for n in sorted({min(k, int(c)) for c in w.count if c})}
+            edge = {n: np.searchsorted(d, np.arange(len(w.count) + 1)) for n, (_, d) in some.items()}
+            self.words += w.count.tolist()
+            for i, c in enumerate(w.count.tolist()):
+                n = min(k, c)
+                self.sets.append(np.unique(some[n][0][edge[n][i] : edge[n][i + 1]]) if c else np.empty(0, np.uint64))
+        self.widths = sorted({min(k, c) for c in self.words if c})
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *self.sets]))
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.vocabulary >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.parts = []
         sizes = np.array([len(s) for s in self.sets])
+        need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
+        self.shown = np.maximum(1, need // SHOWN)
+        self.parts = []
         for c in sorted({int(n - 1).bit_length() for n in sizes if n}):
             own = [i for i, n in enumerate(sizes) if n and int(n - 1).bit_length() == c]
-            u, low = 1 << c, int(sizes[own].min())
-            block = max(1, u // 4)
-            least = threshold * low / (5 * block + (1 - threshold) * int(sizes[own].max()))
-            count = max(4, math.ceil(math.log(miss) / math.log(1 - min(0.9, least))))
-            tables = []
-            for j in range(count):
-                m = np.array([wordgrid.mix(self.sets[i] ^ _SEEDS[j]).min() for i in own], np.uint64)
-                o = np.argsort(m, kind="stable")
-                tables.append((m[o], np.array(own)[o]))
-            self.parts.append((block, math.ceil(threshold * low), tables))
+            sketch = [s[np.argsort(wordgrid.mix(s ^ _SEED), kind="stable")[: sizes[i] - need[i] + self.shown[i]]] for i in own for s in (self.sets[i],)]
+            place = np.searchsorted(self.vocabulary, np.concatenate(sketch))
+            item = np.repeat(own, [len(x) for x in sketch])
+            order = np.argsort(place, kind="stable")
+            self.parts.append((int(need[own].min()), place[order], item[order]))
 
     def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """Document number, item number, shared shingles, shingles of the item."""
+        if not len(self.vocabulary):
+            return
+        size = len(self.vocabulary)
         for w in wordgrid.words(texts, plain=True):
-            g, at = w.grams(self.k)
-            hit = np.flatnonzero(self.bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
-            if not len(hit) or not len(self.vocabulary):
-                continue
-            x = np.searchsorted(self.vocabulary, g[hit])
-            hit = hit[self.vocabulary[np.minimum(x, len(self.vocabulary) - 1)] == g[hit]]
-            if not len(hit):
+            keys = []
+            for n in self.widths:
+                g, doc = _grams(w, n)
+                hit = np.flatnonzero(self.bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
+                x = np.minimum(np.searchsorted(self.vocabulary, g[hit]), size - 1)
+                same = self.vocabulary[x] == g[hit]
+                keys.append(doc[hit[same]] * size + x[same])
+            held = np.unique(np.concatenate(keys))
+            if not len(held):
                 continue
-            doc = w.doc[at[hit]]
-            head = w.begin[doc]
-            last = w.begin + np.maximum(w.count - self.k, 0)
-            # grams and words of a text run in step; a text's first gram has this index among the grams
-            gram0 = np.searchsorted(at, w.begin)
-            pos = at[hit] - head
-            seen: set[tuple[int, int]] = set()
-            for block, least, tables in self.parts:
-                first = np.maximum(pos[:, None] // block - np.arange(5), 0)
-                window, n = np.unique(np.stack([np.repeat(doc, 5), first.ravel()], 1), axis=0, return_counts=True)
-                # a window that begins in block 0 may have been counted for one hit more than once, never less
-                window = window[n >= least]
-                if not len(window):
-                    continue
-                d, b = window[:, 0], window[:, 1]
-                start = gram0[d] + b * block
-                end = gram0[d] + (last[d] - w.begin[d])
-                for some in range(0, len(d), 4096):
-                    cut = slice(some, some + 4096)
-                    h = g[np.minimum(start[cut, None] + np.arange(5 * block), end[cut, None])]
-                    for j, (m, own) in enumerate(tables):
-                        low = wordgrid.mix(h ^ _SEEDS[j]).min(axis=1)
-                        a, z = np.searchsorted(m, low, "left"), np.searchsorted(m, low, "right")
-                        for r in np.flatnonzero(z > a):
-                            seen.update((int(d[some + r]), int(i)) for i in own[a[r] : z[r]])
-            order = np.searchsorted(doc, np.arange(len(w.count) + 1))
-            for d, i in sorted(seen):
-                own = self.sets[i]
-                shared = int(np.isin(own, g[hit[order[d] : order[d + 1]]]).sum())
-                if shared >= self.threshold * len(own) - 1e-9:
-                    yield w.first + d, i, shared, len(own)
+            doc, x = held // size, held % size
+            count = np.bincount(doc)
+            edge = np.concatenate([[0], np.cumsum(count)])
+            for least, place, item in self.parts:
+                some = count[doc] >= least
+                d, v = doc[some], x[some]
+                a, z = np.searchsorted(place, v, "left"), np.searchsorted(place, v, "right")
+                n = z - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                pair, agree = np.unique(np.repeat(d, n) * len(self.ids) + item[at], return_counts=True)
+                pair = pair[agree >= self.shown[pair % len(self.ids)]]
+                for p in pair.tolist():
+                    r, i = divmod(p, len(self.ids))
+                    own = self.sets[i]
+                    shared = int(np.isin(own, self.vocabulary[x[edge[r] : edge[r + 1]]], assume_unique=True).sum())
+                    if shared >= self.threshold * len(own) - 1e-9:
+                        yield w.first + r, i, shared, len(own)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE_ITEMS) -> DataFrame:
-    """item_id, doc_id, row_key, shared, shingles, containment of each pair at or above THRESHOLD."""
+    """item_id, doc_id, row_key, shared, shingles, containment of each pair at or above THRESHOLD, and words of the item."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
     slices = max(1, -(-items.count() // slice_items))
@@ -130,8 +135,8 @@ def search(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE_ITEMS
             x = index.value
             for b in batches:
                 ids, keys = b["doc_id"].to_pylist(), b["row_key"].to_pylist()
-                rows = [(None if x.ids[i] is None else int(x.ids[i]), ids[d], keys[d], n, m, n / m) for d, i, n, m in x.found(b["text"].to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.float64() if c == 5 else pa.int64()) for c in range(6)], names=[c.split()[0] for c in _OUT.split(", ")])
+                rows = [(None if x.ids[i] is None else int(x.ids[i]), ids[d], keys[d], n, m, n / m, x.words[i]) for d, i, n, m in x.found(b["text"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.float64() if c == 5 else pa.int64()) for c in range(7)], names=[c.split()[0] for c in _OUT.split(", ")])
 
         one = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text")).mapInArrow(scan, _OUT)
         out = one if out is None else out.unionByName(one)
@@ -139,8 +144,8 @@ def search(docs: DataFrame, benchmark: DataFrame, slice_items: int = SLICE_ITEMS
 
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    return common.without(docs, search(docs, benchmark).select("doc_id", "row_key").distinct())
+    """The documents that hold no item of SHINGLE words or more, with all their columns."""
+    return common.without(docs, search(docs, benchmark).where(F.col("words") >= SHINGLE).select("doc_id", "row_key").distinct())
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +158,11 @@ _GRAMS = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || '
 ORACLE = f"""
 WITH i AS (SELECT item_id, text, {_WORDS} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
      d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-     ig AS (SELECT item_id, text, len({_GRAMS}) AS shingles, unnest({_GRAMS}) AS s FROM i WHERE len(w) >= 3),
-     dg AS (SELECT doc_id, unnest({_GRAMS}) AS s FROM d WHERE len(w) >= 3)
+     ig AS (SELECT item_id, text, 3 AS k, len({_GRAMS}) AS shingles, unnest({_GRAMS}) AS s FROM i WHERE len(w) >= 3
+        UNION ALL SELECT item_id, text, len(w) AS k, 1, array_to_string(w, ' ') FROM i WHERE len(w) < 3 AND w[1] <> ''),
+     dg AS (SELECT doc_id, 3 AS k, unnest({_GRAMS}) AS s FROM d WHERE len(w) >= 3
+        UNION ALL SELECT doc_id, 1, unnest(list_distinct(w)) FROM d WHERE 1 IN (SELECT k FROM ig)
+        UNION ALL SELECT doc_id, 2, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) FROM d WHERE len(w) >= 2 AND 2 IN (SELECT k FROM ig))
 SELECT item_id, doc_id, count(*) AS shared, any_value(shingles) AS shingles, round(count(*) / any_value(shingles), 6) AS containment
-FROM ig JOIN dg USING (s) GROUP BY item_id, text, doc_id HAVING count(*) >= 0.7 * any_value(shingles) - 1e-9
+FROM ig JOIN dg USING (k, s) GROUP BY item_id, text, doc_id HAVING count(*) >= 0.7 * any_value(shingles) - 1e-9
 """
