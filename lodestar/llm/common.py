@@ -49,5 +49,11 @@ def first_by_hash(rows: DataFrame, bound: int, *key: str) -> DataFrame:
     return found.where(F.col("__draw") < int(share * (1 << 40))).orderBy("__draw", *key).limit(bound).drop("__draw")
 
 
-def workers(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input to a partition of an exchange.
+PARTITION = 64 << 20
+
+
+def workers(docs: DataFrame) -> int:
+    """Partitions of an exchange: those of the session, or as many more as the size of docs asks for, where Spark knows it."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION) if size < 1 << 56 else 1)

@@ -175,7 +175,7 @@ def _verified_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[
 
 def removals(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, row_key, line_no of each occurrence that goes, and near: whether for an edit rather than a repeat."""
-    parts = common.workers(docs.sparkSession)
+    parts = common.workers(docs)
     base = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text"))
     text = base.select("text")
     occurrences = common.cut(base.mapInArrow(_occurrence_batches, "line long, doc_id long, row_key long, line_no int"))

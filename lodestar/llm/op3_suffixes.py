@@ -48,9 +48,10 @@ WIDTH = LENGTH - KEY + 1
 RUN = 50_000
 #: Bytes of a splitter; less than KEY words have, so that no group is divided.
 SPLIT = 40
-SAMPLES = 20_000
-#: Ranges for each partition of the merge, so that hashing them to partitions evens out.
-RANGES = 4
+#: Anchors sampled for each splitter, and at least in all.
+SAMPLES, LEAST_SAMPLES = 20, 20_000
+#: Ranges for each partition of the merge, so that hashing them to partitions evens out; entries of a range at most, but for those of one prefix.
+RANGES, RANGE = 4, 1_000_000
 _SAMPLED = 64
 
 
@@ -368,15 +369,15 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, first, from_word, to_word (exclusive) and the doc_id of the earliest occurrence among the windows."""
     spark = docs.sparkSession
-    parts = common.workers(spark)
+    parts = common.workers(docs)
     base = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text"))
     found = base.mapInArrow(_anchor_batches, "key long, doc_id long, row_key long, spot long, prefix binary")
     found = found.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared_batches, "doc_id long, row_key long, spot long, prefix binary")
     found = common.cut(found)
-    sample = found.where("prefix IS NOT NULL").select("prefix", F.pmod(F.xxhash64("doc_id", "row_key", "spot"), F.lit(1 << 20)).alias("draw"))
-    share = (1 << 20) // max(1, -(-sample.count() // SAMPLES))
+    ranges = max(RANGES * parts, -(-found.count() // RANGE))
+    sample = found.where("prefix IS NOT NULL").select("prefix", F.pmod(F.xxhash64("doc_id", "row_key", "spot"), F.lit(1 << 40)).alias("draw"))
+    share = (1 << 40) // max(1, -(-sample.count() // max(LEAST_SAMPLES, SAMPLES * ranges)))
     drawn = sorted(bytes(r[0]) for r in sample.where(F.col("draw") < share).collect())
-    ranges = RANGES * parts
     splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
     spots = found.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.collect_set("spot").alias("spots"))
     entries = base.join(spots.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key"))).select("doc_id", "row_key", "spots", "text")

@@ -25,7 +25,8 @@ alternating large-star and small-star steps on checkpointed edges, after a
 union-find within each partition.
 
 Defined cases: null texts and texts without a word are near duplicates of
-nothing and stay; rows with the same doc_id and text come back as one row with
+nothing and stay; very long texts are hashed whole, a slice of their words at a time; of
+documents that tie in doc_id the one of the lesser row_key stays; rows with the same doc_id and text come back as one row with
 their number in `rows`; an empty table gives no rows; other columns are not
 looked at.  A text with fewer than SHINGLE words has one shingle, itself.
 """
@@ -41,9 +42,9 @@ from pyspark.sql import functions as F
 
 from . import common, runs, wordgrid
 
-BLOCKS = 5
-BITS = 51
-RADIUS = 4
+BLOCKS = 4
+BITS = 56
+RADIUS = 5
 MASKS = 2 ** (RADIUS + 1) - 1
 WHOLE = BLOCKS * (RADIUS + 1) - 1
 CHECK = 22
@@ -51,7 +52,7 @@ CHECK = 22
 STAR_MASKS = 4
 #: Exponent in texts of SHORT words and less, and of LONG and more; in between it falls with the
 #: logarithm, as counts of common words make long texts of one language alike.
-POWER, SHORT, LONG = (0.85, 0.45), 200, 2000
+POWER, SHORT, LONG = (0.9, 0.45), 200, 2000
 SHINGLE = 3
 _SEEDS = np.random.default_rng(8).integers(1, 2**63, 64, dtype=np.uint64)
 _BLOCK_COLUMNS = [f"b{i}" for i in range(BLOCKS)] + ["check_block"]
@@ -228,7 +229,7 @@ def decide(docs: DataFrame) -> DataFrame:
     prints = docs.select(F.col("doc_id").cast("long"), common.row_key().alias("row_key"), F.col("text")).mapInArrow(_fingerprint_batches, _PRINTS)
     prints = common.cut(prints.groupBy("doc_id", "row_key", "node", *_BLOCK_COLUMNS).agg(F.count("*").alias("rows")))
     nodes = prints.where("node IS NOT NULL").select("node", *_BLOCK_COLUMNS).distinct()
-    parts = common.workers(docs.sparkSession)
+    parts = common.workers(docs)
 
     def tables(some: DataFrame, masks_used: int, *order: str) -> DataFrame:
         rows = some.select("node", "part", *_BLOCK_COLUMNS[:BLOCKS]).mapInArrow(_table_batches(masks_used), "table short, block long, node long, part long")
