@@ -12,8 +12,9 @@ the threshold: the greatest at which KEPT of the held-out good documents stay,
 but at most CEILING.
 
 Defined cases: null or blank text has statistics 0 and is scored like any other;
-label rows without doc_id or quality are not used, of several of one document
-the greatest quality is; without labels of both kinds every document scores 1
+texts are measured whole, however long; a score that ties with the threshold is kept;
+label rows without doc_id or quality are not used, of several of one document the greatest
+quality is, and of several texts under a labelled doc_id the features that sort first; without labels of both kinds every document scores 1
 and is kept; repeated rows are each scored, alike; an empty table gives no rows;
 other columns are not looked at.
 """
@@ -209,7 +210,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(features: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") > 0).cast("double").alias("__quality"))
-    rows = common.first_by_hash(features.dropDuplicates(["doc_id"]).join(known, "doc_id"), bound, "doc_id").select(*FEATURES, "__quality").toPandas().to_numpy(float)
+    rows = common.first_by_hash(features.join(known, "doc_id").groupBy("doc_id", "__quality").agg(F.min(F.struct(*FEATURES)).alias("__f")).select("doc_id", "__quality", "__f.*"), bound, "doc_id").select(*FEATURES, "__quality").toPandas().to_numpy(float)
     return train(rows[:, :-1], rows[:, -1])
 
 

@@ -14,8 +14,8 @@ first by hash of url and page_id.
 
 Defined cases: a null or empty page, or one without words, gives an empty text
 and null places; scripts, styles, templates, the head and comments hold no words; an
-unclosed one reaches to the end; of equal sums the first, shortest region is
-taken; without any labelled page DEFAULT weights hold; repeated pages are each
+unclosed one reaches to the end; very long pages are read whole; of equal sums (ties) the
+first, shortest region is taken; without any labelled page DEFAULT weights hold; repeated pages are each
 extracted; an empty table gives no rows; other columns are not looked at.
 """
 

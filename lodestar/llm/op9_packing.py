@@ -9,7 +9,8 @@ another opened.  Shards hold about SHARD_TOKENS tokens each, so their number
 grows with the corpus while each fits a worker; pieces fall in shards by hash.
 
 Defined cases: a null or empty text has no tokens and comes back as one row of
-0 tokens in no sequence (null); equal costs go by (doc_id, row_key, piece), of
+0 tokens in no sequence (null); very long texts are
+cut into pieces, never dropped; equal costs go by (doc_id, row_key, piece), of
 equal sequences the first is taken; repeated rows are each packed; an empty
 table gives no rows; other columns are not looked at.
 """
@@ -26,7 +27,7 @@ from . import common, tokenizers
 CAPACITY = 8192
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 SHARD_TOKENS = 4_000_000
-_OUT = "doc_id long, piece int, first_token long, n_tokens long, cost double, shard int, sequence string, at int"
+_OUT = "doc_id long, row_key long, piece int, first_token long, n_tokens long, cost double, shard int, sequence string, at int"
 
 
 def assign(cost: np.ndarray, tokens: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +57,7 @@ def counts(docs: DataFrame, folder: str = tokenizers.TOKENIZER_DIR) -> DataFrame
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, folder: str = tokenizers.TOKENIZER_DIR) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens, cost, shard, sequence and place (at) in it."""
+    """doc_id, row_key (of its text), piece, first_token, n_tokens, cost, shard, sequence and place (at) in it."""
     found = common.cut(counts(docs, folder))
     total = found.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_tokens))
