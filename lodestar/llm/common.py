@@ -55,5 +55,5 @@ PARTITION = 64 << 20
 
 def workers(docs: DataFrame) -> int:
     """Partitions of an exchange: those of the session, or as many more as the size of docs asks for, where Spark knows it."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION) if size < 1 << 56 else 1)
