@@ -1,8 +1,10 @@
 """The ten operators against brute force, held-out accuracy and odd tables."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,6 +400,50 @@ def test_lm_trains_on_every_document(spark):
         assert op6_lm.score(q, s, tables).sum() > op6_lm.score(op6_lm.start(), s, tables).sum()
 
 
+class OneTask:
+    """A table of texts as the training sees it, on one task and in this process."""
+
+    def __init__(self, texts):
+        self.sparkSession = self.sparkContext = self
+        self.ids = pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in texts], pa.binary())], names=["ids"])
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        self.rows = pa.Table.from_batches(f(iter([self.ids])), pa.schema([("i", pa.int32()), ("x", pa.float64())])).to_pandas()
+        return self
+
+    def groupBy(self, *_):
+        return self
+
+    agg = orderBy = groupBy
+
+    def toPandas(self):
+        return self.rows
+
+
+def test_lm_trains_alike_at_every_size(spark, monkeypatch):
+    """No rule of the training changes with the size of the table: each stride is in one step, of TARGETS targets."""
+    rng = np.random.default_rng(2)
+    for n in (1, 31, op6_lm.STEP - 1, op6_lm.STEP, op6_lm.STEP + 1, 2 * op6_lm.STEP):
+        texts = [rng.integers(0, 300, n * op6_lm.STRIDE)]
+        steps, loss = [], op6_lm.loss
+
+        def noted(p, s, tables, a, z, places, steps=steps, loss=loss):
+            steps.append((a, z, len(places)))
+            return loss(p, s, tables, a, z, places)
+
+        with monkeypatch.context() as m:
+            m.setattr(op6_lm, "loss", noted)
+            op6_lm.trained(OneTask(texts), op6_lm.start(), lm_tables(texts).tables())
+        assert sorted(i for a, z, _ in steps for i in range(a, z)) == list(range(n))
+        assert {t for _, _, t in steps} == {op6_lm.TARGETS}
+
+
 # 7
 
 
