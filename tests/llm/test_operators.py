@@ -315,6 +315,15 @@ def test_lm_scores_equal_brute_force(monkeypatch):
     assert (got != 0).sum() == sum(map(len, texts))
 
 
+def test_lm_scores_follow_the_parameters():
+    """Tables that have scored for one model, and kept what they share for it, score for another as new ones do."""
+    t = np.random.default_rng(3).integers(0, 300, 70)
+    tables, s = lm_tables([t]).tables(), op6_lm.Strides.of([t])
+    for seed in (6, 7, 6):
+        p = some_parameters(seed)
+        assert np.allclose(op6_lm.score(p, s, tables)[s.real], brute_score(p, tables, t), atol=1e-3)
+
+
 def test_lm_is_causal_and_a_distribution():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 500, 300) for _ in range(4)]
