@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +41,25 @@ _SCHEMA = "n_tokens long, n_pieces long, chars_per_token double, chars_per_piece
 
 
 def measure_text(text: str | None, folder: str) -> tuple:
-    if text is None or not text.strip():
-        return 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0
-    tokens = len(tokenizers.encode_ranks(folder, text))
-    ids = np.array(tokenizers.encode_pieces(folder, text))
-    n = len(ids)
+    return measure_texts(pa.array([text], pa.string()), folder)[0]
+
+
+def measure_texts(texts: pa.Array, folder: str) -> list[tuple]:
+    ranks, pieces = tokenizers.encode_all(folder, texts, both=True)
+    ids, edge = pieces.ids, pieces.edge
     low, high = min(tokenizers.byte_pieces(folder)), max(tokenizers.byte_pieces(folder))
-    fallback = int(((ids >= low) & (ids <= high)).sum())
-    c = np.unique(ids, return_counts=True)[1] / n
-    entropy = float(-(c * np.log2(c)).sum())
-    return tokens, n, len(text) / tokens, len(text) / n, fallback / n, entropy, entropy / np.log2(n) if n > 1 else 1.0
+    bytewise = np.append(0, np.cumsum((ids >= low) & (ids <= high)))
+    fallback, tokens = bytewise[edge[1:]] - bytewise[edge[:-1]], np.diff(ranks.edge)
+    out = []
+    for i, text in enumerate(texts.to_pylist()):
+        if text is None or not text.strip():
+            out.append((0, 0, 0.0, 0.0, 0.0, 0.0, 0.0))
+            continue
+        own, n = np.sort(ids[edge[i] : edge[i + 1]], kind="stable"), int(edge[i + 1] - edge[i])
+        c = np.diff(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))) / n
+        entropy = float(-(c * np.log2(c)).sum())
+        out.append((int(tokens[i]), n, len(text) / int(tokens[i]), len(text) / n, int(fallback[i]) / n, entropy, entropy / np.log2(n) if n > 1 else 1.0))
+    return out
 
 
 def measure(docs: DataFrame, folder: str = tokenizers.TOKENIZER_DIR) -> DataFrame:
@@ -57,7 +67,7 @@ def measure(docs: DataFrame, folder: str = tokenizers.TOKENIZER_DIR) -> DataFram
 
     @F.pandas_udf(_SCHEMA)
     def fertility(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure_text(t, folder) for t in text], columns=[x.split()[0] for x in _SCHEMA.split(", ")])
+        return pd.DataFrame([m for own in tokenizers.together(pa.array(text, pa.string())) for m in measure_texts(own, folder)], columns=[x.split()[0] for x in _SCHEMA.split(", ")])
 
     found = docs.select("doc_id", common.row_key().alias("row_key"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), fertility(F.col("text")).alias("m"))
     return found.select("doc_id", "row_key", "lang", "m.*").withColumn("size_class", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(1), F.floor(F.log2("n_tokens") / 2))).cast("int"))
