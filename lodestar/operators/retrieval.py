@@ -22,6 +22,8 @@ from lodestar.operators.chunking import hashed_bag
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query vectors of up to so many bytes are broadcast; more are cross-joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Scores that a task of dense() holds at once.
+TILE = 2 << 20
 #: Up to so many queries are matched as term matrices, so many in one scan; more are joined with the postings.
 MATRIX_QUERIES, MATRIX_SLICE = 2_000, 250
 HITS = ["query_id", "chunk_id", "score", "rank"]
@@ -170,12 +172,62 @@ def _first(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((names[some], -score[some]))[:k]]
 
 
+class Best:
+    """The k best vectors of each query so far, by score rounded to 9 digits, then name; kept with arrays of TILE scores at most."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.score: np.ndarray | None = None
+        self.names: np.ndarray | None = None
+
+    def add(self, matrix: np.ndarray, own: np.ndarray, names: np.ndarray) -> None:
+        at = 0
+        while at < len(own):
+            # few at first, so that few of the others need more than a comparison
+            n = max(8 * self.k, 512) if self.score is None else 4096
+            score, best = [], []
+            for a in range(0, self.queries, step := max(1, TILE // n)):
+                x, y = self._merged(slice(a, min(self.queries, a + step)), matrix, own[at : at + n], names[at : at + n])
+                score.append(x)
+                best.append(y)
+            self.score, self.names = np.concatenate(score), np.concatenate(best)
+            at += n
+
+    def _merged(self, rows: slice, matrix: np.ndarray, own: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score, held = matrix[rows] @ own.T, 0 if self.score is None else self.score.shape[1]
+        n, keep = len(score), min(self.k, held + len(own))
+        if held == self.k:
+            limit = self.score[rows].min(1)
+        elif len(own) > self.k:
+            limit = np.partition(score, len(own) - self.k, axis=1)[:, len(own) - self.k]
+        else:
+            limit = np.full(n, -np.inf)
+        # one that is rounded up to the limit is among these
+        hit = np.flatnonzero(score >= (limit - 2e-9)[:, None])
+        r, c = np.divmod(hit, len(own))
+        value, name = np.round(score.ravel()[hit], 9), names[c]
+        if held:
+            some = np.unique(r) if held == self.k else np.arange(n)
+            value, name = np.concatenate([self.score[rows][some].ravel(), value]), np.concatenate([self.names[rows][some].ravel(), name])
+            r = np.concatenate([np.repeat(some, held), r])
+        else:
+            some = np.arange(n)
+        order = np.lexsort((name, -value, r))
+        first = np.searchsorted(r[order], some)
+        order = order[(first[:, None] + np.arange(keep)).ravel()].reshape(-1, keep)
+        if len(some) == n:
+            return value[order], name[order]
+        out = self.score[rows].copy(), self.names[rows].copy()
+        out[0][some], out[1][some] = value[order], name[order]
+        return out
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int, small: bool | None = None) -> DataFrame:
     """Exact inner product of chunks (chunk_id, vector) and queries (query_id, vector).
 
     Few queries go as one matrix to every task, which keeps its own best k of each
     query, so only k rows a query and task are shuffled.  Beyond BROADCAST_BYTES the
-    queries are taken in slices of that size."""
+    queries are taken in slices of that size.  A task's scores are made in tiles."""
     width = 8
     first = queries.select(F.size("vector").alias("d")).first()
     if first is None:
@@ -187,29 +239,23 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, small: bool | None = No
     schema = f"query_id {kind[0]}, chunk_id {kind[1]}, score double"
     parts = []
     for s in range(slices):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "vector").toPandas()
+        # by Arrow, as rows of lists would take the driver longer than the tasks take
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "vector").toArrow()
         if not len(rows):
             continue
-        ids, matrix = rows["query_id"].to_numpy(), np.stack(rows["vector"].map(np.asarray)).astype(np.float64)
+        ids, matrix = rows["query_id"].to_numpy(), rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(np.float64)
         known = queries.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def local(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
             ids, matrix = known.value
-            best = None
+            best = Best(len(ids), k)
             for b in batches:
-                if not len(b):
-                    continue
-                own = np.stack(b["vector"].map(np.asarray)).astype(np.float64)
-                score = np.round(matrix @ own.T, 9)
-                names = b["chunk_id"].to_numpy()
-                if best is not None:
-                    score, names = np.concatenate([best[0], score], 1), np.concatenate([best[1], np.broadcast_to(names, (len(ids), len(names)))], 1)
-                else:
-                    names = np.broadcast_to(names, (len(ids), len(names)))
-                keep = np.stack([_first(score[r], names[r], k) for r in range(len(ids))])
-                best = np.take_along_axis(score, keep, 1), np.take_along_axis(names, keep, 1)
-            if best is not None:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "chunk_id": best[1].ravel(), "score": best[0].ravel()})
+                if len(b):
+                    best.add(matrix, np.stack(b["vector"].map(np.asarray)).astype(np.float64), b["chunk_id"].to_numpy())
+            for a in range(0, len(ids), step := max(1, 200_000 // k)):
+                if best.score is not None:
+                    n = best.score.shape[1]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[a : a + step], n), "chunk_id": best.names[a : a + step].ravel(), "score": best.score[a : a + step].ravel()})
 
         parts.append(chunks.select("chunk_id", "vector").mapInPandas(local, schema))
     return top_k(reduce(DataFrame.unionByName, parts), k)

@@ -186,12 +186,27 @@ _SPARSE = """sp AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, CAST(CASE
  sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 20)"""
 
 
+def _same_first(v: DataFrame, k: int) -> DataFrame:
+    """The k first vectors of each one by score, 1 for an equal label and 0 else, and by id.
+
+    Those of a label are the same for all its queries; where they are fewer than k, the others that fill up
+    are among the first 2 k of all."""
+    chunks, queries = v.select(F.col("vec_id").alias("chunk_id"), "label"), v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("chunk_id"))
+    first = chunks.where("label IS NOT NULL").withColumn("place", place).where(F.col("place") <= k).groupBy("label").agg(F.collect_list("chunk_id").alias("same")).persist()
+    low = chunks.orderBy("chunk_id").limit(2 * k).agg(F.collect_list(F.struct("chunk_id", "label")).alias("low"))
+    # few labels are broadcast, since a join on so few keys would be skewed
+    found = queries.join(F.broadcast(first) if first.count() <= 20_000 else first, queries["l"] == first["label"], "left").drop("label").crossJoin(F.broadcast(low))
+    scored = lambda ids, s: F.transform(ids, lambda c: F.struct(c.alias("chunk_id"), F.lit(s).alias("score")))
+    same, none = F.coalesce("same", F.array().cast(dict(first.dtypes)["same"])), F.array().cast(dict(first.dtypes)["same"])
+    others = F.transform(F.filter("low", lambda x: ~F.coalesce(x["label"] == F.col("l"), F.lit(False))), lambda x: x["chunk_id"])
+    rows = found.select("query_id", F.inline(F.concat(scored(same, 1.0), scored(F.when(F.size(same) < k, others).otherwise(none), 0.0))))
+    return retrieval.top_k(rows, k)
+
+
 def _two_lists(spark: SparkSession, sf: str) -> list[DataFrame]:
     """The dense list, and one of equal labels first as the second."""
-    v = _table(spark, sf, "embeddings")
-    same = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l")).crossJoin(v.select(F.col("vec_id").alias("chunk_id"), "label"))
-    second = retrieval.top_k(same.select("query_id", "chunk_id", (F.col("l") == F.col("label")).cast("double").alias("score")), 20)
-    return [retrieval.dense(*_vectors(spark, sf), 20), second]
+    return [retrieval.dense(*_vectors(spark, sf), 20), _same_first(_table(spark, sf, "embeddings"), 20)]
 
 
 @query(f"""WITH {_DENSE}, {_SPARSE}, u AS (SELECT query_id, chunk_id, rank, 0 AS l, 0.55 AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1, 0.45 FROM sparse),
