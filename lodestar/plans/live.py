@@ -64,11 +64,12 @@ def retrieve(index: Index, planned: DataFrame, top_k: int, per_query_k: int) ->
     depth = F.greatest(F.lit(max(top_k, per_query_k)), 2 * F.col("__n"))
     widest = max(top_k, per_query_k, 2 * (planned.agg(F.max(F.size("queries"))).first()[0] or 1))
     found = index.retrievers.create(index.retriever_spec)(each.select("query_id", "query"), widest)
-    hits = found.join(each.withColumn("__depth", depth), "query_id").where(F.col("rank") <= F.col("__depth"))
+    # what follows reads the hits, and then the evidence, several times: without persist() each time is another search of all chunks
+    hits = found.join(each.withColumn("__depth", depth), "query_id").where(F.col("rank") <= F.col("__depth")).persist()
     pool = hits.groupBy("question_id").agg(F.greatest(F.lit(2 * top_k), F.max("__depth")).alias("__pool"))
     fused = retrieval.multi_query(hits.select("question_id", "query_no", "query", "chunk_id", "score", "rank"), max(2 * top_k, widest)).join(pool, "question_id").where(F.col("rank") <= F.col("__pool")).drop("__pool")
     # texts are joined after the ranking
-    return fused.join(index.chunks.select("chunk_id", "doc_id", "title", "text"), "chunk_id").join(planned.select("question_id", "question"), "question_id")
+    return fused.join(index.chunks.select("chunk_id", "doc_id", "title", "text"), "chunk_id").join(planned.select("question_id", "question"), "question_id").persist()
 
 
 def run(index: Index, questions: DataFrame, mode: str = "advanced", top_k: int = 4, per_query_k: int = 8, token_budget: int = 384, most_subqueries: int = 3, generate: Callable[[DataFrame], DataFrame] = generation.extractive) -> Result:
