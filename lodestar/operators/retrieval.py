@@ -24,8 +24,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_BYTES = 64 << 20
 #: Scores that a task of dense() holds at once.
 TILE = 2 << 20
-#: Up to so many queries are matched as term matrices, so many in one scan; more are joined with the postings.
-MATRIX_QUERIES, MATRIX_SLICE = 2_000, 250
+#: Up to so many queries are matched in one scan, with so many chunks at once; more are joined with the postings.
+MATRIX_QUERIES, MATRIX_CHUNKS = 2_000, 512
 HITS = ["query_id", "chunk_id", "score", "rank"]
 
 
@@ -63,6 +63,7 @@ class LexicalIndex:
 
     def __init__(self, chunks: DataFrame):
         self.words = tokens(chunks)
+        self.kept: DataFrame | None = None
         self._derive()
 
     def _derive(self) -> None:
@@ -70,15 +71,19 @@ class LexicalIndex:
         self.idf = idf_table(self.words, self.total)
 
     def persist(self) -> LexicalIndex:
-        self.words = self.words.persist()
+        # as one string, which takes a third of the room of an array; words have no blanks
+        self.kept = self.words.select("chunk_id", F.array_join("w", " ").alias("s")).persist()
+        none = F.array().cast("array<string>")
+        self.words = self.kept.select("chunk_id", F.when(F.col("s") == "", none).otherwise(F.split("s", " ")).alias("w"))
         self._derive()
         self.total = self.total.persist()
         self.idf = self.idf.persist()
         return self
 
     def unpersist(self) -> None:
-        for x in (self.words, self.total, self.idf):
-            x.unpersist()
+        for x in (self.kept, self.total, self.idf):
+            if x is not None:
+                x.unpersist()
 
 
 def query_weights(index: LexicalIndex, queries: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
 def bm25(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """Top k; chunks that share no term score 0 and fill up where fewer than k match or outrank negative scores.
 
-    Up to MATRIX_QUERIES queries go as matrices of term weights to every task; more are
+    Up to MATRIX_QUERIES queries go as a matrix of term weights to every task; more are
     joined with the postings.  Both give the same scores."""
     return (bm25_matrix if queries.count() <= MATRIX_QUERIES else bm25_join)(index, queries, k)
 
@@ -121,55 +126,42 @@ def bm25_join(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_matrix(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Saturated counts of a batch of chunks by terms, times terms by queries; each task sends its own best k of a query."""
+    """The terms of a batch of chunks, each added to the scores of the queries that have it; each task sends its own best k of a query."""
     kind = dict(queries.dtypes)["query_id"], dict(index.words.dtypes)["chunk_id"]
     schema = f"query_id {kind[0]}, chunk_id {kind[1]}, score double"
     rows = queries.select("query_id").distinct().toPandas()["query_id"].to_numpy()
     if not len(rows):
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
     weights, average = query_weights(index, queries).toPandas(), index.total.first()["avgdl"] or 1.0
-    order = {q: i for i, q in enumerate(rows)}
-    at = weights["query_id"].map(order).to_numpy(np.int64)
-    parts = []
-    for first in range(0, len(rows), MATRIX_SLICE):
-        own = (at >= first) & (at < first + MATRIX_SLICE)
-        terms = {t: i for i, t in enumerate(dict.fromkeys(weights["term"][own]))}
-        matrix = np.zeros((len(terms), len(rows[first : first + MATRIX_SLICE])))
-        matrix[weights["term"][own].map(terms).to_numpy(np.int64), at[own] - first] = weights["w"][own]
-        known = queries.sparkSession.sparkContext.broadcast((rows[first : first + MATRIX_SLICE], terms, matrix))
-
-        def local(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            ids, terms, matrix = known.value
-            found, best = pa.array(list(terms), pa.string()), None
-            for big in batches:
-                for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
-                    w = b["w"]
-                    place = pc.index_in(w.flatten(), found)
-                    size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
-                    hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
-                    flat = np.repeat(np.arange(len(size)), size)[hit] * len(found) + place.drop_null().to_numpy().astype(np.int64)
-                    tf = np.bincount(flat, minlength=len(size) * len(found)).reshape(len(size), len(found)).astype(np.float64)
-                    tf *= (K1 + 1) / np.maximum(tf + (K1 * (1 - B + B * size / average))[:, None], 1e-300)
-                    score, names = np.round(tf @ matrix, 9).T, np.broadcast_to(np.array(b["chunk_id"].to_pylist(), object), (len(ids), len(size)))
-                    if best is not None:
-                        score, names = np.concatenate([best[0], score], 1), np.concatenate([best[1], names], 1)
-                    keep = np.stack([_first(score[r], names[r], k) for r in range(len(ids))])
-                    best = np.take_along_axis(score, keep, 1), np.take_along_axis(names, keep, 1)
-            if best is not None:
-                n = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel().tolist()), pa.array(best[0].ravel() + 0.0)], names=["query_id", "chunk_id", "score"])
-
-        parts.append(index.words.select("chunk_id", "w").mapInArrow(local, schema))
-    return top_k(reduce(DataFrame.unionByName, parts), k)
-
-
-def _first(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best by score, then name."""
-    if len(score) <= k:
-        return np.arange(len(score))
-    limit = np.partition(score, len(score) - k)[len(score) - k]
-    some = np.flatnonzero(score >= limit)
-    return some[np.lexsort((names[some], -score[some]))[:k]]
+    order, every = {q: i for i, q in enumerate(rows)}, {t: i for i, t in enumerate(dict.fromkeys(weights["term"]))}
+    column, at = weights["term"].map(every).to_numpy(np.int64), weights["query_id"].map(order).to_numpy(np.int64)
+    by = np.argsort(column, kind="stable")
+    # of each term the queries that have it, one after the other, and its weights in them
+    uses = np.bincount(column, minlength=len(every))
+    known = queries.sparkSession.sparkContext.broadcast((rows, list(every), at[by], weights["w"].to_numpy(np.float64)[by], uses))
+
+    def local(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        ids, terms, users, weight, uses = known.value
+        found, begin, best = pa.array(terms, pa.string()), np.cumsum(uses) - uses, Best(len(ids), k)
+        for big in batches:
+            for b in (big.slice(i, MATRIX_CHUNKS) for i in range(0, big.num_rows, MATRIX_CHUNKS)):
+                w = b["w"]
+                place = pc.index_in(w.flatten(), found)
+                size = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
+                hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+                flat, tf = np.unique(np.repeat(np.arange(len(size)), size)[hit] * len(terms) + place.drop_null().to_numpy().astype(np.int64), return_counts=True)
+                chunk, term = np.divmod(flat, max(1, len(terms)))
+                tf = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[chunk] / average))
+                # a term of a chunk counts for each query that has it
+                n = uses[term]
+                pair = np.repeat(begin[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                score = np.bincount(users[pair] * len(size) + np.repeat(chunk, n), np.repeat(tf, n) * weight[pair], len(ids) * len(size))
+                best.merge(score.reshape(len(ids), len(size)), np.array(b["chunk_id"].to_pylist(), object))
+        if best.score is not None:
+            n = best.score.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best.names.ravel().tolist()), pa.array(best.score.ravel() + 0.0)], names=["query_id", "chunk_id", "score"])
+
+    return top_k(index.words.select("chunk_id", "w").mapInArrow(local, schema), k)
 
 
 class Best:
@@ -187,24 +179,30 @@ class Best:
             n = max(8 * self.k, 512) if self.score is None else 4096
             score, best = [], []
             for a in range(0, self.queries, step := max(1, TILE // n)):
-                x, y = self._merged(slice(a, min(self.queries, a + step)), matrix, own[at : at + n], names[at : at + n])
+                rows = slice(a, min(self.queries, a + step))
+                x, y = self._merged(rows, matrix[rows] @ own[at : at + n].T, names[at : at + n])
                 score.append(x)
                 best.append(y)
             self.score, self.names = np.concatenate(score), np.concatenate(best)
             at += n
 
-    def _merged(self, rows: slice, matrix: np.ndarray, own: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        score, held = matrix[rows] @ own.T, 0 if self.score is None else self.score.shape[1]
-        n, keep = len(score), min(self.k, held + len(own))
+    def merge(self, score: np.ndarray, names: np.ndarray) -> None:
+        """Scores of all queries by the vectors named."""
+        if len(names):
+            self.score, self.names = self._merged(slice(0, self.queries), score, names)
+
+    def _merged(self, rows: slice, score: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held, own = 0 if self.score is None else self.score.shape[1], len(names)
+        n, keep = len(score), min(self.k, held + own)
         if held == self.k:
             limit = self.score[rows].min(1)
-        elif len(own) > self.k:
-            limit = np.partition(score, len(own) - self.k, axis=1)[:, len(own) - self.k]
+        elif own > self.k:
+            limit = np.partition(score, own - self.k, axis=1)[:, own - self.k]
         else:
             limit = np.full(n, -np.inf)
         # one that is rounded up to the limit is among these
         hit = np.flatnonzero(score >= (limit - 2e-9)[:, None])
-        r, c = np.divmod(hit, len(own))
+        r, c = np.divmod(hit, own)
         value, name = np.round(score.ravel()[hit], 9), names[c]
         if held:
             some = np.unique(r) if held == self.k else np.arange(n)
