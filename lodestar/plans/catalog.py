@@ -11,7 +11,7 @@ from lodestar.functions import text as T
 from lodestar.operators import chunking, evaluation, evidence, generation, retrieval
 from lodestar.plans import live, report
 from lodestar.sources import datasets, uploads
-from lodestar.sources.results import chunk_digest
+from lodestar.sources.results import digest_row
 from lodestar.storage import table as _table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,7 +517,8 @@ def payload_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def index_digest(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(chunk_digest(_fixed(spark, sf), "hashed_bag"),)], "digest string")
+    # one aggregate: a row made in the driver would start Python workers to write it
+    return digest_row(_fixed(spark, sf), "hashed_bag")
 
 
 @query("SELECT DISTINCT source, CAST(regexp_extract('fixed_' || n_chars, '_(\\d+)$', 1) AS INT) AS size FROM documents")

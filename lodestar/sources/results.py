@@ -73,12 +73,16 @@ def export(predictions: DataFrame, summaries: DataFrame, aggregates: DataFrame,
     write_json(out / "aggregate_results.json", _rows(aggregates))
 
 
-def chunk_digest(chunks: DataFrame, encoder: str) -> str:
-    """Digest of encoder and chunks; independent of the order of rows."""
+def digest_row(chunks: DataFrame, encoder: str) -> DataFrame:
+    """One row with the digest of encoder and chunks; independent of the order of rows."""
     each = F.sha2(F.concat_ws("\x00", "chunk_id", "doc_id", "text"), 256)
     # sums of four 60-bit pieces: associative, so it is one partial aggregate
     pieces = [F.sum(F.conv(F.substring(each, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
-    return chunks.agg(F.sha2(F.concat_ws("|", F.lit(encoder), F.count("*").cast("string"), *pieces), 256).alias("d")).first()["d"]
+    return chunks.agg(F.sha2(F.concat_ws("|", F.lit(encoder), F.count("*").cast("string"), *pieces), 256).alias("digest"))
+
+
+def chunk_digest(chunks: DataFrame, encoder: str) -> str:
+    return digest_row(chunks, encoder).first()["digest"]
 
 
 def cached_vectors(chunks: DataFrame, encoder: str, encode: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
