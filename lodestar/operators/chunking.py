@@ -11,18 +11,25 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lodestar.functions import text as T
 
 COLUMNS = ["chunk_id", "doc_id", "title", "dataset", "chunk_index", "text", "token_count"]
+#: Documents that the recursive chunker holds in pieces at once.
+DOCUMENTS = 64
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
 def finish(docs: DataFrame, name: str, pieces: Column) -> DataFrame:
     """Explodes an array of pieces; the text is stripped, blanks dropped, tokens counted on the stripped text."""
-    raw = docs.select("doc_id", "title", "dataset", F.posexplode(pieces).alias("chunk_index", "__piece"))
+    return _finished(docs.select("doc_id", "title", "dataset", F.posexplode(pieces).alias("chunk_index", "__piece")), name)
+
+
+def _finished(raw: DataFrame, name: str) -> DataFrame:
     out = raw.withColumn("text", T.strip("__piece")).where("text <> ''")
     return out.withColumn("chunk_id", F.concat_ws("::", F.lit(name), "doc_id", F.col("chunk_index").cast("string"))).withColumn("token_count", T.count_tokens("text")).select(COLUMNS)
 
@@ -134,13 +141,21 @@ def split_recursive(text: str, size: int, overlap: int, count: Callable[[str], i
 
 
 def recursive(docs: DataFrame, name: str, chunk_size: int, chunk_overlap: int = 0, separators: tuple[str, ...] = SEPARATORS, **_: object) -> DataFrame:
-    """Paragraphs, then lines, sentences, words and characters; Arrow-batched, as the recursion has no built-in form."""
+    """Paragraphs, then lines, sentences, words and characters; in Python, as the recursion has no built-in form.
+
+    Few documents are taken out of an Arrow batch at a time, and their pieces sent on."""
+    kept = ["doc_id", "title", "dataset"]
+    kind = StructType([*(docs.schema[c] for c in kept), StructField("chunk_index", IntegerType()), StructField("__piece", StringType())])
 
-    @F.pandas_udf("array<string>")
-    def pieces(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split_recursive(t or "", chunk_size, chunk_overlap, lambda x: len(x.split()), separators))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, DOCUMENTS) for i in range(0, big.num_rows, DOCUMENTS)):
+                found = [split_recursive(t or "", chunk_size, chunk_overlap, lambda x: len(x.split()), separators) for t in b["text"].to_pylist()]
+                at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
+                index = pa.array([j for x in found for j in range(len(x))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in kept), index, pa.array([p for x in found for p in x], b["text"].type)], names=kind.names)
 
-    return finish(docs, name, pieces("text"))
+    return _finished(docs.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(rows, kind), name)
 
 
 def _library(docs: DataFrame, name: str, make: Callable[[], Callable[[str], list[tuple[str, int]]]]) -> DataFrame:
